@@ -77,12 +77,12 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, at
 
 
-def row_slices(offsets: np.ndarray, cap: int = 4 * PIECE) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``cap`` bytes; a longer text has a range of its own."""
+def row_slices(offsets: np.ndarray, cap: int = 4 * PIECE, rows: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``cap`` bytes and at most ``rows`` rows; a longer text has a range of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + cap, "right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + rows, max(hi, lo + 1))
         yield lo, hi
         lo = hi
 
