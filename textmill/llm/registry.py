@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import decontaminate, exact_dedup, simhash, suffix_dedup, toxicity
+from textmill.llm import bpe, decontaminate, exact_dedup, simhash, suffix_dedup, toxicity
 from textmill.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op5_suffix_dedup, op6_simhash, op8_exact_dedup, op9_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op5_suffix_dedup, op6_simhash, op8_exact_dedup, op9_decontamination)}
 
 EXACT_SQL = """
 SELECT doc_id, kept_doc_id FROM (
