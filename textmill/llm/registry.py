@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import bpe, decontaminate, exact_dedup, simhash, suffix_dedup, toxicity
+from textmill.llm import bpe, decontaminate, exact_dedup, line_dedup, simhash, suffix_dedup, toxicity
 from textmill.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op5_suffix_dedup, op6_simhash, op8_exact_dedup, op9_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op5_suffix_dedup, op6_simhash, op7_line_dedup, op8_exact_dedup, op9_decontamination)}
 
 EXACT_SQL = """
 SELECT doc_id, kept_doc_id FROM (
