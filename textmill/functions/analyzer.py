@@ -50,7 +50,7 @@ class Analyzer:
         if self.stemmer is not None:
             found = F.transform(found, self.stemmer)
         if self.tokenizer is not text.tokenize:
-            found = F.transform(found, F.trim)
+            found = F.transform(found, lambda t: F.trim(t))
         if not self.stop_words:
             return F.filter(found, lambda t: t != "")
         return F.filter(found, lambda t: (t != "") & ~t.isin(*self.stop_words))

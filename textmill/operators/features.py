@@ -108,7 +108,7 @@ def bloom_positions(element: Column, bits: int, hashes: int) -> Column:
 def bloom_build(elements: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
     """(word, mask): the filter in words of 32 bits; its size depends on ``bits`` alone."""
     at = elements.select(F.explode(bloom_positions(F.col(column), bits, hashes)).alias("at"))
-    return at.groupBy(F.floor(F.col("at") / 32).cast("bigint").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.pmod(F.col("at"), F.lit(32)).cast("int"))).alias("mask"))
+    return at.groupBy(F.floor(F.col("at") / 32).cast("bigint").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 32 AS INT))")).alias("mask"))
 
 
 def bloom_contains(filter_: DataFrame, elements: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:

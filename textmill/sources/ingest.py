@@ -73,9 +73,12 @@ def _widest(rows: list[dict]) -> str:
     return json.dumps(seen, default=str, ensure_ascii=False)
 
 
-def from_json(spark: SparkSession, path: str, id_col: str | None = None, schema: Any = None) -> DataFrame:
-    """A file or folder with JSON arrays or lines of objects; records that don't parse are dropped."""
-    reader = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED")
+def from_json(spark: SparkSession, path: str, id_col: str | None = None, schema: Any = None, lines: bool = False) -> DataFrame:
+    """Files with a JSON array each, or (``lines``) an object in each line; records that don't parse are dropped.
+
+    An array is read by one task for each file; lines are split like any text, so large data should have them.
+    """
+    reader = spark.read.option("multiLine", not lines).option("mode", "DROPMALFORMED")
     return with_ids((reader.schema(schema) if schema is not None else reader).json(path), id_col)
 
 
