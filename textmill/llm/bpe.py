@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +30,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import U64, column_bytes, mix, row_slices
+from textmill.llm.common import U64, column_bytes, keep, mix, row_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Vocabularies are of a fixed size, whatever the corpus; a file beyond this isn't one.
 MAX_VOCABULARY_BYTES = 64_000_000
 #: Transitions of the transducer, and distinct pieces with their tokens, that a worker keeps.
-MAX_TRANSITIONS, MAX_PIECES = 1_500_000, 300_000
-_SLICE = 1 << 21
+MAX_TRANSITIONS, MAX_PIECES = 450_000, 200_000
+_SLICE = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -109,6 +108,8 @@ class Transducer:
         key = a << 32 | b
         known = self.follows.get(key)
         if known is None:
+            if len(self.follows) > MAX_PIECES:
+                self.follows.clear()
             known = self.follows[key] = self._may_follow(a, b)
         return known
 
@@ -130,13 +131,15 @@ class Transducer:
 
     def reset(self) -> None:
         """Forget all states but the first."""
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
+        # a state is a flat tuple of its alternatives: last token, node, number of tokens held, those tokens
+        self.states: list[tuple[int, ...]] = []
+        self.number: dict[tuple[int, ...], int] = {}
         self.outputs: list[tuple[int, ...]] = [()]
         self.output_number: dict[tuple[int, ...], int] = {(): 0}
+        self.lengths, self.starts, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.finals = np.zeros(1024, np.int32)
         self._table(1 << 16)
-        self._state(((-1, 0, ()),))
+        self._state([(-1, 0, ())])
 
     def _table(self, size: int) -> None:
         self.keys = np.zeros(size, np.int64)
@@ -144,11 +147,14 @@ class Transducer:
         self.emits = np.zeros(size, np.int32)
         self.filled = 0
 
-    def _state(self, alternatives: tuple) -> int:
-        found = self.number.get(alternatives)
+    def _state(self, alternatives: list[tuple[int, int, tuple[int, ...]]]) -> int:
+        flat: tuple[int, ...] = ()
+        for last, node, rest in alternatives:
+            flat += (last, node, len(rest), *rest)
+        found = self.number.get(flat)
         if found is None:
-            found = self.number[alternatives] = len(self.states)
-            self.states.append(alternatives)
+            found = self.number[flat] = len(self.states)
+            self.states.append(flat)
             if found >= len(self.finals):
                 self.finals = np.concatenate([self.finals, np.zeros_like(self.finals)])
             # at the end of a word the alternative at the root holds
@@ -163,15 +169,19 @@ class Transducer:
         return found
 
     def _step(self, state: int, byte: int) -> tuple[int, int]:
-        open_ = []
-        for last, node, rest in self.states[state]:
-            to = self.child.get(node << 8 | byte)
+        flat, child, tokens, inner = self.states[state], self.child, self.token, self.inner
+        open_, i = [], 0
+        while i < len(flat):
+            last, node, held = flat[i : i + 3]
+            rest = flat[i + 3 : i + 3 + held]
+            i += 3 + held
+            to = child.get(node << 8 | byte)
             if to is None:
                 continue
-            token = self.token[to]
+            token = tokens[to]
             if token >= 0 and (last < 0 or self.may_follow(last, token)):
                 open_.append((token, 0, (*rest, token)))
-            if self.inner[to]:
+            if inner[to]:
                 open_.append((last, to, rest))
         common = open_[0][2]
         for _, _, rest in open_[1:]:
@@ -180,7 +190,10 @@ class Transducer:
                 n -= 1
             common = common[:n]
         n = len(common)
-        return self._state(tuple(sorted((last, node, rest[n:]) for last, node, rest in open_))), self._output(common)
+        if n:
+            open_ = [(last, node, rest[n:]) for last, node, rest in open_]
+        open_.sort()
+        return self._state(open_), self._output(common)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key, or of the empty slot where it belongs."""
@@ -228,7 +241,7 @@ class Transducer:
         while lo < len(order):
             # words of like length, in a matrix of bounded size
             width = max(1, int(sizes[order[lo]]))
-            hi = min(len(order), lo + max(1, (1 << 21) // width))
+            hi = min(len(order), lo + max(1, (1 << 19) // width))
             if self.filled > MAX_TRANSITIONS:
                 self.reset()
             parts.append((order[lo:hi], self._encode([words[i] for i in order[lo:hi]], sizes[order[lo:hi]], counts, order[lo:hi])))
@@ -252,12 +265,14 @@ class Transducer:
         emitted[:, width] = self.finals[state]
         row, _ = np.nonzero(emitted)
         output = emitted[emitted != 0]
-        lengths = np.array([len(t) for t in self.outputs], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        values = np.array([x for t in self.outputs for x in t], np.int32)
-        size = lengths[output]
+        if len(self.outputs) > len(self.lengths):
+            new = self.outputs[len(self.lengths) :]
+            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, new), np.int64, len(new))])
+            self.values = np.concatenate([self.values, np.array([x for t in new for x in t], np.int32)])
+            self.starts = np.cumsum(self.lengths) - self.lengths
+        size = self.lengths[output]
         counts[own] = np.bincount(row, size, n).astype(np.int64)
-        return values[np.repeat(starts[output] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        return self.values[np.repeat(self.starts[output] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 class Encoder:
@@ -359,11 +374,6 @@ def decode_stream(tokens: Iterable[int], vocabulary: list[bytes], chunk: int = 4
     yield stream.end()
 
 
-@lru_cache(maxsize=2)
-def _encoder(tokens: tuple[bytes, ...]) -> Encoder:
-    return Encoder(list(tokens))
-
-
 def _share(df: DataFrame, vocabulary: str):
     return df.sparkSession.sparkContext.broadcast(tuple(read_ranks(vocabulary)))
 
@@ -379,7 +389,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_ = shared.value
-        encoder = _encoder(tokens_)
+        encoder = keep(("bpe", hash(tokens_)), lambda: Encoder(list(tokens_)))
         table = list(tokens_)
         for batch in batches:
             column = batch.column("text")

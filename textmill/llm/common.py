@@ -6,12 +6,12 @@ array plus offsets without copying, ``word_table`` cuts it into words and hashes
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +44,40 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors through the shared folder, once for each application."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="textmill-"), "textmill.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for source in sorted(root.rglob("*.py")):
             z.write(source, source.relative_to(root.parent))
+    path = f"{checkpoint_dir(spark)}/textmill-{sc.applicationId}.zip"
+    to = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(sc._jsc.hadoopConfiguration()).create(to, True)
+    out.write(packed.getvalue())
+    out.close()
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
 
 
+_kept: dict[object, object] = {}
+
+
+def keep(key: object, make: Callable[[], object]) -> Any:
+    """A value that a Python worker keeps from task to task; the tables of one operator at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Give up what another operator's tasks left in this worker."""
+    _kept.clear()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a temporary one only in local mode."""
     sc = spark.sparkContext

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from textmill.llm.common import PIECE, U64, WORD, column_bytes, mix, row_slices
+from textmill.llm.common import PIECE, U64, WORD, column_bytes, mix, release, row_slices
 
 #: Words of a passage that count as contamination.
 NGRAM = 13
@@ -157,6 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataF
         shared = spark.sparkContext.broadcast(part)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             items = shared.value
             searcher = WuManber(list(items))
             for batch in batches:

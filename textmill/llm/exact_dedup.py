@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import checkpoint_dir, cut_lineage
+from textmill.llm.common import checkpoint_dir, cut_lineage, release
 
 #: Distinct digests that a memtable holds before it is flushed.
 MEMTABLE = 200_000
@@ -66,6 +66,7 @@ def runs(docs: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=names)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         table: dict[bytes, list] = {}
         for batch in batches:
             for key, doc in zip(batch.column("digest").to_pylist(), batch.column("doc_id").to_pylist()):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import PIECE, U64, column_bytes, cut_lineage, mix, owners, row_slices, word_table
+from textmill.llm.common import PIECE, U64, column_bytes, cut_lineage, mix, owners, release, row_slices, word_table
 
 BITS = 128
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, low, high) of every document with an id and at least one word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             for lo, hi in row_slices(offsets, PIECE):

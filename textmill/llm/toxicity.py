@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import PIECE, U64, column_bytes, mix, owners, row_slices, word_table
+from textmill.llm.common import PIECE, U64, column_bytes, mix, owners, release, row_slices, word_table
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     rows = docs.where("text IS NOT NULL").select("doc_id", F.lower("text").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         ids, texts, ys = [], [], []
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
@@ -131,6 +132,7 @@ def scorer(docs: DataFrame, model: bytes, settings: Settings = Settings()):
 
     def loaded() -> tuple[np.ndarray, float]:
         if "w" not in held:
+            release()
             saved = np.load(io.BytesIO(shared.value))
             w = np.zeros(1 << settings.bits, np.float32)
             w[saved["at"]] = saved["w"]
