@@ -50,13 +50,13 @@ class Lines:
         feed = value == 10
         breaks = np.flatnonzero(feed)
         full = np.flatnonzero(np.diff(text_at) > 0)
-        begin = np.concatenate([text_at[full], breaks + 1])
+        # where a text ends in a line feed, the nothing after it comes before the next text's first line
+        begin = np.concatenate([breaks + 1, text_at[full]])
         order = np.argsort(begin, kind="stable")
         begin = begin[order]
         stop = np.concatenate([breaks, text_at[full + 1]])
         stop = stop[np.argsort(stop * 2 + np.concatenate([np.zeros(len(breaks), np.int64), np.ones(len(full), np.int64)]), kind="stable")]
-        # a text that ends in a line feed begins no line after it
-        first = np.concatenate([np.ones(len(full), bool), np.zeros(len(breaks), bool)])[order]
+        first = np.concatenate([np.zeros(len(breaks), bool), np.ones(len(full), bool)])[order]
         self.text = full[np.cumsum(first) - 1]
         at = np.flatnonzero(first)
         self.number = np.arange(len(begin)) - np.repeat(at, np.diff(np.append(at, len(begin))))

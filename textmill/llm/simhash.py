@@ -36,10 +36,13 @@ _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 @dataclass(frozen=True)
 class Settings:
-    """``leaf``: lists up to this size are compared by brute force; ``strip``: coordinates of a filter."""
+    """``recall``: of pairs at the full distance; nearer ones are found more often.
+
+    ``leaf``: lists up to this size are compared by brute force; ``strip``: coordinates of a filter.
+    """
 
     distance: int = 24
-    recall: float = 0.9
+    recall: float = 0.95
     strip: int = 3
     leaf: int = 1024
 
