@@ -1,8 +1,7 @@
 """License scans by sentence-rule recognition (German, Manabe and Inoue, 2010).
 
 A text is normalised (lower case, comment marks, quotes and commas dropped, British spelling made
-American) and cut into sentences.  Sentences that speak of licensing are mapped to the identifiers of
-known licence sentences; the first entry of ``SENTENCES`` whose expression occurs in a sentence names
+American) and cut into sentences.  Sentences are mapped to the identifiers of known licence sentences; the first entry of ``SENTENCES`` whose expression occurs in a sentence names
 it.  The sequence of identifiers is then matched against ``RULES`` from its first identifier on: at
 each place the first rule of the list that fits is taken and its identifiers are used up; an
 identifier that begins no rule is skipped.  A licence text that lacks a required sentence is thus not
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A document or sentence without any of these words states no licence.
+#: A document without any of these words states no licence.
 TRIGGER = r"licen[cs]|copyright|permission|warrant|redistribut|spdx|public domain|liab"
 
 #: (identifier, expression over a normalised sentence); the first that occurs names the sentence.
@@ -155,11 +154,11 @@ _CLEAN: list[tuple[str, str]] = [
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences that speak of licensing."""
+    """Normalised sentences of a text."""
     clean = F.concat(F.lit("\n"), F.lower(text))
     for old, new in _CLEAN:
         clean = F.regexp_replace(clean, F.lit(old), F.lit(new))
-    return F.filter(F.split(clean, "\x01"), lambda s: s.rlike(TRIGGER) | s.rlike(r"as[ -]is|in no event|public|mit\b|bsd"))
+    return F.split(clean, "\x01")
 
 
 def identifier(sentence: Column) -> Column:
@@ -211,8 +210,7 @@ WITH cut AS (
 each AS (
   SELECT r, doc_id, t.i, parts[t.i] AS s FROM cut, unnest(range(1, len(parts) + 1)) AS t(i)),
 named AS (
-  SELECT r, doc_id, i, CASE {case} END AS id FROM each
-  WHERE regexp_matches(s, {quote(TRIGGER)}) OR regexp_matches(s, {quote(r"as[ -]is|in no event|public|mit" + chr(92) + "b|bsd")})),
+  SELECT r, doc_id, i, CASE {case} END AS id FROM each),
 lists AS (
   SELECT r, any_value(doc_id) AS doc_id, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n
   FROM named WHERE id IS NOT NULL GROUP BY r),
