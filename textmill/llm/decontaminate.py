@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from textmill.llm.common import PIECE, U64, WORD, column_bytes, mix, release, row_slices
+from textmill.llm.common import PIECE, U64, WORD, column_bytes, fresh, mix, release, row_slices
 
 #: Words of a passage that count as contamination.
 NGRAM = 13
@@ -182,5 +182,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataF
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """Documents without any benchmark passage, with all their columns."""
-    leaks = contaminated(docs, benchmark, n).select(F.col("doc_id").alias("_leaked_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("_leaked_id")), "left_anti")
+    leaked = fresh(docs, "_leaked_id")
+    leaks = contaminated(docs, benchmark, n).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col(leaked)), "left_anti")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import checkpoint_dir, cut_lineage, release
+from textmill.llm.common import checkpoint_dir, cut_lineage, fresh, release
 
 #: Distinct digests that a memtable holds before it is flushed.
 MEMTABLE = 200_000
@@ -117,9 +117,10 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One row of each text, with all its columns; rows without text stay."""
-    gone = cut_lineage(_copies(docs).select(F.col("digest").alias("_gone_digest"), F.col("doc_id").alias("_gone_id"), F.col("doc_id").eqNullSafe(F.col("kept_doc_id")).alias("_again")))
-    key = (digest(docs["text"]) == F.col("_gone_digest")) & docs["doc_id"].eqNullSafe(F.col("_gone_id"))
-    repeated = gone.where("_again").select("_gone_digest", "_gone_id").distinct()
+    gone_digest, gone_id, again = (fresh(docs, x) for x in ("_gone_digest", "_gone_id", "_again"))
+    gone = cut_lineage(_copies(docs).select(F.col("digest").alias(gone_digest), F.col("doc_id").alias(gone_id), F.col("doc_id").eqNullSafe(F.col("kept_doc_id")).alias(again)))
+    key = (digest(docs["text"]) == F.col(gone_digest)) & docs["doc_id"].eqNullSafe(F.col(gone_id))
+    repeated = gone.where(F.col(again)).select(gone_digest, gone_id).distinct()
     if repeated.isEmpty():
         return docs.join(gone, key, "left_anti")
     once = docs.join(repeated, key, "left_semi").dropDuplicates(["doc_id", "text"])

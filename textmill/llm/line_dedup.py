@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import PIECE, U64, column_bytes, cut_lineage, mix, row_slices
+from textmill.llm.common import PIECE, U64, column_bytes, cut_lineage, fresh, mix, row_slices
 
 #: Characters from which on a line may differ by one edit.
 LEAST = 8
@@ -244,7 +244,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def drop_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """The documents without the lines of ``repeated``; all other columns and rows stay."""
-    gone = repeated.groupBy(F.col("doc_id").alias("_line_doc")).agg(F.collect_set("line_no").alias("_lines"))
-    joined = docs.join(gone, docs["doc_id"] == F.col("_line_doc"), "left")
-    kept = F.filter(F.split(docs["text"], "\n", -1), lambda _, i: ~F.array_contains("_lines", i))
-    return joined.withColumn("text", F.when(F.col("_lines").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))).drop("_line_doc", "_lines")
+    doc, lines = fresh(docs, "_line_doc"), fresh(docs, "_lines")
+    gone = repeated.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(lines))
+    joined = docs.join(gone, docs["doc_id"] == F.col(doc), "left")
+    kept = F.filter(F.split(docs["text"], "\n", -1), lambda _, i: ~F.array_contains(lines, i))
+    return joined.withColumn("text", F.when(F.col(lines).isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))).drop(doc, lines)

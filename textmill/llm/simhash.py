@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import PIECE, U64, column_bytes, cut_lineage, mix, owners, release, row_slices, word_table
+from textmill.llm.common import PIECE, U64, column_bytes, cut_lineage, fresh, mix, owners, release, row_slices, word_table
 
 BITS = 128
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -256,5 +256,6 @@ def near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One document of each group, and all that are in none, with all their columns."""
-    gone = near_copies(docs, settings).select(F.col("doc_id").alias("_near_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("_near_id"), "left_anti")
+    near_id = fresh(docs, "_near_id")
+    gone = near_copies(docs, settings).select(F.col("doc_id").alias(near_id))
+    return docs.join(gone, docs["doc_id"] == F.col(near_id), "left_anti")
