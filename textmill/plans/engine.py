@@ -138,6 +138,7 @@ class Engine:
     def create(self, name: str, source: Any, id_col: str | None = None, stem: bool = False, **options: Any) -> Index:
         config = IndexConfig(name=name, analyzer=Analyzer.make(stem=stem), **options) if "analyzer" not in options else IndexConfig(name=name, **options)
         self.indexes[name] = Index.build(ingest.as_corpus(self.spark, source, id_col), config)
+        self.cache.clear()
         return self.indexes[name]
 
     def get(self, name: str) -> Index:
@@ -148,6 +149,7 @@ class Engine:
     def drop(self, name: str) -> None:
         self.get(name).unpersist()
         del self.indexes[name]
+        self.cache.clear()
 
     def names(self) -> list[str]:
         return sorted(self.indexes)
@@ -156,11 +158,12 @@ class Engine:
         """Put a changed snapshot in an index's place."""
         self.get(name)
         self.indexes[name] = index
+        self.cache.clear()
 
     def hits(self, name: str, request: Request) -> DataFrame:
-        """(doc_id, score) of all hits; kept by snapshot and request, so a change of the index forgets them."""
+        """(doc_id, score) of all hits; kept by request until an index changes."""
         index = self.get(name)
-        key = (name, id(index), index.version, request.checksum())
+        key = (name, index.version, request.checksum())
         found = self.cache.get(key)
         if found is None:
             plain = request.fast and not request.conditions and not request.rule
