@@ -328,9 +328,10 @@ def site():
     return pages + [(100, None, "<p>no url</p>"), (101, "http://site0.example/", None), (102, "not a url", ""), (103, "//site1.example", "<div><p>open <b>bold <i>never closed"), (104, "http://deep.example", "<div>" * 5000 + "deep" + "</div>" * 10), (4, pages[4][1], pages[4][2])]
 
 
-@pytest.mark.parametrize("limit", [32_000_000, 0])
-def test_html(spark, limit):
-    settings = html_style_tree.Settings(max_broadcast_bytes=limit)
+@pytest.mark.parametrize(("limit", "tree"), [(32_000_000, 2_000_000), (0, 40), (0, 0)])
+def test_html(spark, limit, tree):
+    """The tree by hosts, partly by levels, and wholly by levels."""
+    settings = html_style_tree.Settings(max_broadcast_bytes=limit, max_tree=tree)
     pages = site()
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, host string")
     got = html_style_tree.extract(df, settings)

@@ -11,9 +11,10 @@ with l styles of shares p_i, H_m the entropy to base m, and g = ``damping``.  El
 only have importance 1.  A branch is removed from a page if its root's importance is at most
 ``threshold``; what is left is the page's text.
 
-The tree never lies in one place: pages emit (element, style) pairs as hash keys, one aggregation
-counts them, and importance is carried up level by level with joins.  The keys of removable elements
-are broadcast if they are at most ``max_broadcast_bytes``; beyond that they are joined to the pages.
+Pages emit (element, style) pairs as hash keys and one aggregation counts them.  Importance is carried
+up from the deepest elements: a host at a time in one task, or with joins level by level where a host
+has more than ``max_tree`` pairs.  The keys of removable elements are broadcast if they are at most
+``max_broadcast_bytes``; beyond that they are joined to the pages.
 
 Elements deeper than ``DEPTH`` become children of their ancestor at that depth, as browsers do.
 Defined results: a null html has a null text; an empty one an empty text; a null or malformed url
@@ -24,6 +25,7 @@ with equal page_id are cleaned one by one; other columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -52,6 +54,7 @@ class Settings:
     damping: float = 0.9
     threshold: float = 0.4
     max_broadcast_bytes: int = 32_000_000
+    max_tree: int = 2_000_000
 
 
 class Node:
@@ -152,11 +155,11 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(elem, parent, style, depth, kids, n): pages in which an element has a style."""
+    """(site, elem, parent, style, depth, kids, n): pages in which an element has a style; site: the tree's root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["elem", "parent", "style", "depth", "kids", "n"]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int64())
+        names = ["site", "elem", "parent", "style", "depth", "kids", "n"]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int64())
 
         def flush(counts: Counter) -> pa.RecordBatch:
             columns = zip(*(k + (n,) for k, n in counts.items()))
@@ -167,7 +170,8 @@ def style_counts(pages: DataFrame) -> DataFrame:
             hosts = batch.column("host").to_pylist()
             for lo in range(0, batch.num_rows, 256):
                 for host, html in zip(hosts[lo : lo + 256], batch.column("html").slice(lo, 256).to_pylist()):
-                    counts.update(x[1:] for x in walk(host, parse(html)))
+                    site = _hash("host", host)
+                    counts.update((site, *x[1:]) for x in walk(host, parse(html)))
                 if len(counts) > 100_000:
                     yield flush(counts)
                     counts = Counter()
@@ -175,16 +179,73 @@ def style_counts(pages: DataFrame) -> DataFrame:
             yield flush(counts)
 
     rows = _pages(pages).where("html IS NOT NULL").select("host", "html")
-    counted = rows.mapInArrow(run, "elem bigint, parent bigint, style bigint, depth smallint, kids int, n bigint")
-    return counted.groupBy("elem", "parent", "style", "depth", "kids").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(run, "site bigint, elem bigint, parent bigint, style bigint, depth smallint, kids int, n bigint")
+    return counted.groupBy("site", "elem", "parent", "style", "depth", "kids").agg(F.sum("n").alias("n"))
 
 
 def importance(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(elem, importance) of every element that two or more pages of a host share."""
-    spark = pages.sparkSession
+    """(elem, importance) of every element that two or more pages of a host share.
+
+    The tree of a host with at most ``max_tree`` rows is brought up in one pass of one task, hosts side
+    by side; a larger one level by level with joins.  The result is the same.
+    """
     counts = style_counts(pages)
     elems = counts.groupBy("elem").agg(F.sum("n").alias("m")).where("m > 1")
     shared = cut_lineage(counts.join(elems, "elem"))
+    large = cut_lineage(shared.groupBy("site").agg(F.count("*").alias("rows")).where(F.col("rows") > settings.max_tree).select("site"))
+    if large.isEmpty():
+        return _whole_trees(shared, settings)
+    return _whole_trees(shared.join(large, "site", "left_anti"), settings).union(_by_level(shared.join(large, "site", "left_semi"), settings))
+
+
+def _whole_trees(shared: DataFrame, settings: Settings) -> DataFrame:
+    """Deepest elements first; only the sums of one level are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        below: dict[int, float] = {}
+        above: dict[int, float] = {}
+        elem, parent, m = None, 0, 1
+        styles: list[tuple[int, int, int]] = []
+
+        def settle() -> float:
+            base = math.log(m)
+            if any(kids == -1 for _, kids, _ in styles):
+                return 1 - sum(math.log(n) / base for _, _, n in styles) / len(styles)
+            entropy = sum(-n / m * math.log(n / m) / base for _, _, n in styles)
+            inside = sum(n / m * (0.0 if kids == 0 else 1.0 if n == 1 else below.get(style, 0.0) / kids) for style, kids, n in styles)
+            fade = settings.damping ** len(styles)
+            return (1 - fade) * entropy + fade * inside
+
+        for batch in _then_none(batches):
+            keys, values = [], []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("site", "depth", "elem", "parent", "m", "style", "kids", "n"))) if batch is not None else [(None,) * 8]
+            for site, depth, e, p, total, style, kids, n in rows:
+                if e != elem:
+                    if elem is not None:
+                        value = settle()
+                        above[parent] = above.get(parent, 0.0) + value
+                        keys.append(elem)
+                        values.append(value)
+                    if (site, depth) != at:
+                        below, above = above if at is not None and site == at[0] else {}, {}
+                        at = site, depth
+                    elem, parent, m, styles = e, p, total, []
+                styles.append((style, kids, n))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.float64())], names=["elem", "importance"])
+
+    ordered = shared.repartition("site").sortWithinPartitions("site", F.desc("depth"), "elem")
+    return ordered.mapInArrow(run, "elem bigint, importance double")
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _by_level(shared: DataFrame, settings: Settings) -> DataFrame:
+    spark = shared.sparkSession
     deepest = shared.agg(F.max("depth")).first()[0]
     done = spark.createDataFrame([], "elem bigint, importance double")
     below = spark.createDataFrame([], "style bigint, total double")
