@@ -103,8 +103,8 @@ def test_filters(spark, index):
     assert of(Condition("kind", "contains", "gram"), Condition("rating", "gte", 5)) == [2]
     assert of(Condition("kind", "eq", "AI"), Condition("rating", "lt", 2), how="or") == [1, 5]
     assert of(Condition("kind", "eq", "AI", reverse=True)) == [2, 3, 4]
-    lookup = spark.createDataFrame([("DB",), ("AI",)], "k string")
-    assert of(Condition("kind", "in", lookup=lookup)) == [1, 3]
+    wanted = spark.createDataFrame([("DB",), ("AI",)], "k string")
+    assert of(Condition("kind", "in", keys=wanted)) == [1, 3]
     with pytest.raises(ValueError):
         Condition("kind", "like", "x").column()
     shown = index.corpus.where(filters.ui_filter(index.corpus.schema, "all", "contains", "CAFÉ"))

@@ -357,7 +357,7 @@ def key_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, text, lang FROM documents WHERE doc_id = 42")
-def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_of(spark, sf_dir).document(42).select("doc_id", "text", "lang")
 
 
@@ -447,9 +447,9 @@ _register("filter_reverse", _on("part", "p_partkey", Filter(_BOTH, "or", reverse
 
 
 @query("SELECT o_orderkey AS doc_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
-def filter_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    return Filter((Condition("o_custkey", "in", lookup=keys),)).ids(_keyed(spark, sf_dir, "orders", "o_orderkey"))
+    return Filter((Condition("o_custkey", "in", keys=keys),)).ids(_keyed(spark, sf_dir, "orders", "o_orderkey"))
 
 
 @query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') OR contains(lower(p_type), 'red')")

@@ -30,13 +30,13 @@ OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
 
 @dataclass(frozen=True)
 class Condition:
-    """``lookup``: a DataFrame whose first column takes the place of ``value`` for ``in`` and ``nin``."""
+    """``keys``: a DataFrame whose first column takes the place of ``value`` for ``in`` and ``nin``."""
 
     field: str
     operator: str
     value: Any = None
     reverse: bool = False
-    lookup: DataFrame | None = None
+    keys: DataFrame | None = None
 
     def column(self) -> Column:
         if self.operator not in OPERATORS:
@@ -53,15 +53,15 @@ def combine(columns: Sequence[Column], how: str = "and") -> Column:
 
 def apply(df: DataFrame, conditions: Sequence[Condition], how: str = "and", reverse: bool = False) -> DataFrame:
     """Rows for which all (or any) of the conditions hold, or don't if ``reverse``."""
-    plain = [c for c in conditions if c.lookup is None]
+    plain = [c for c in conditions if c.keys is None]
     if how.lower() != "and" and len(plain) < len(conditions) or reverse and len(plain) < len(conditions):
-        raise ValueError("a lookup can only be one of several conditions that must all hold")
+        raise ValueError("keys can only be one of several conditions that must all hold")
     if plain:
         both = combine([c.column() for c in plain], how)
         df = df.where(~both if reverse else both)
     for c in conditions:
-        if c.lookup is not None:
-            keys = c.lookup.select(F.col(c.lookup.columns[0]).alias("_key")).distinct()
+        if c.keys is not None:
+            keys = c.keys.select(F.col(c.keys.columns[0]).alias("_key")).distinct()
             keep = "left_semi" if (c.operator == "in") != c.reverse else "left_anti"
             df = df.join(keys, F.col(f"`{c.field}`") == F.col("_key"), keep)
     return df

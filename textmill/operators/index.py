@@ -6,7 +6,7 @@ vocab      (term, df, cf)
 stats      (n, avgdl)               one row
 
 All of them are lazy plans over the corpus until ``save_index`` or ``persist`` fixes them.  A filter on
-``term`` reaches the exploded tokens below the aggregation, so an ad-hoc lookup shuffles only its hits.
+``term`` reaches the exploded tokens below the aggregation, so an ad-hoc search shuffles only its hits.
 An index is a snapshot: every change gives a new one with the next version.
 """
 
@@ -152,7 +152,7 @@ class Index:
         clean = self.postings.where("term IS NOT NULL AND term <> ''").dropDuplicates(["term", "doc_id"])
         return Index(self.corpus, self.config, self.version + 1, clean.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), self.doc_stats)
 
-    # lookups and reports
+    # single documents and reports
 
     def document(self, doc_id: int) -> DataFrame:
         return self.corpus.where(F.col("doc_id") == doc_id)

@@ -231,7 +231,7 @@ class Filter(Query):
     inner: Query | None = None
 
     def column(self, index: Index) -> Column | None:
-        if self.inner is not None or any(c.lookup is not None for c in self.conditions):
+        if self.inner is not None or any(c.keys is not None for c in self.conditions):
             return None
         found = filters.combine([c.column() for c in self.conditions], self.how)
         return F.coalesce(~found if self.reverse else found, F.lit(False))

@@ -42,7 +42,7 @@ class Request:
 
     def checksum(self) -> int:
         """The same for requests that differ only in the order of their conditions."""
-        body = asdict(self) | {"conditions": sorted((c.field, c.operator, str(c.value), c.reverse, id(c.lookup) if c.lookup is not None else 0) for c in self.conditions)}
+        body = asdict(self) | {"conditions": sorted((c.field, c.operator, str(c.value), c.reverse, id(c.keys) if c.keys is not None else 0) for c in self.conditions)}
         return xxhash.xxh64_intdigest(json.dumps(body, sort_keys=True, default=str))
 
     def text_query(self) -> Query | None:

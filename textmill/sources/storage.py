@@ -32,7 +32,7 @@ def save_index(index: Index, path: str) -> int:
 
     The row in ``meta`` is written last, so a version is visible only when it is whole, and readers of
     older versions are never disturbed.  Postings are range-partitioned by (term, doc_id): a frequent
-    term is spread over several files, and a lookup reads only the row groups whose range has the term.
+    term is spread over several files, and a search reads only the row groups whose range has the term.
     """
     spark = index.corpus.sparkSession
     version = index.version
