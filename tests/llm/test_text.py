@@ -198,6 +198,86 @@ def test_license_tables():
     assert all(set(rule) <= named for _, rule in license_scan.RULES)
 
 
+#: A text for every expression (for each form of it that has words of its own), with the identifier.
+EACH = [
+    ("SpdxMit", "SPDX-License-Identifier: MIT"),
+    ("SpdxApache2", "SPDX-License-Identifier: Apache-2.0"),
+    ("SpdxGpl3", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("SpdxGpl2", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("SpdxLgpl", "SPDX-License-Identifier: LGPL-2.1"),
+    ("SpdxBsd3", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("SpdxBsd2", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("SpdxMpl2", "SPDX-License-Identifier: MPL-2.0"),
+    ("SpdxOther", "SPDX-License-Identifier: Beerware"),
+    ("CcZero", "CC0"),
+    ("CcZero", "Creative Commons Zero"),
+    ("CcZero", "We waive all copyright."),
+    ("CcByNcSa", "CC BY-NC-SA 4.0"),
+    ("CcByNcSa", "Attribution-NonCommercial-ShareAlike"),
+    ("CcByNcNd", "CC-BY-NC-ND"),
+    ("CcByNcNd", "Attribution-NonCommercial-NoDerivs"),
+    ("CcByNc", "CC BY-NC"),
+    ("CcByNc", "Attribution-NonCommercial"),
+    ("CcBySa", "CC\n * BY-SA"),
+    ("CcBySa", "Attribution-ShareAlike"),
+    ("CcByNd", "CC BY-ND"),
+    ("CcByNd", "Attribution-NoDerivs"),
+    ("CcBy", "CC BY 4.0"),
+    ("CcBy", "Creative Commons Attribution"),
+    ("ApacheObtain", "You may obtain a copy of the License at"),
+    ("ApacheUnless", "Unless required by applicable law or agreed to in writing"),
+    ("ApacheGoverning", "See the License for the specific language governing permissions"),
+    ("ApacheMayNotUse", "You may not use this file except in compliance with the License."),
+    ("Apache2", "Apache License, Version 2.0"),
+    ("LgplVersion", "Lesser General Public License"),
+    ("LgplVersion", "LGPL"),
+    ("AgplVersion", "Affero General Public Licence"),
+    ("AgplVersion", "AGPL"),
+    ("GplWarranty", "without even the implied warranty of MERCHANTABILITY"),
+    ("GplReceived", "You should have received a copy of the GNU General Public License"),
+    ("Gpl3OrLater", "GPL v3 or later"),
+    ("Gpl2OrLater", "GPL v2 or later"),
+    ("Gpl3", "Released under GPL v3."),
+    ("Gpl2", "Released under G(P)L v2."),
+    ("GplAny", "GNU GPL"),
+    ("MitGrant", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MitNotice", "this notice and this permission notice shall be included in all copies"),
+    ("IscGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose"),
+    ("AsIs", "Provided as-is."),
+    ("NoLiability", "In no event shall we pay."),
+    ("NoLiability", "In no event will we pay."),
+    ("BsdConditions", "Redistribution and use in source and binary forms"),
+    ("BsdSource", "Redistributions of source code must retain it."),
+    ("BsdBinary", "Redistributions in binary form must reproduce it."),
+    ("BsdEndorse", "may be used to endorse or promote products"),
+    ("BsdAdvertise", "All advertising materials mentioning features"),
+    ("Mit", "MIT-licensed"),
+    ("IscName", "ISC License"),
+    ("Bsd3Name", "3-clause BSD"),
+    ("Bsd2Name", "simplified BSD"),
+    ("BsdName", "BSD-style licence"),
+    ("Mpl2", "MPL-2.0"),
+    ("Mpl2", "Mozilla Public License 2.0"),
+    ("Epl", "Eclipse Public License"),
+    ("Unlicense", "free and unencumbered software released into the public domain"),
+    ("Unlicense", "The Unlicense"),
+    ("PublicDomain", "in the public domain"),
+    ("Wtfpl", "WTFPL"),
+    ("Boost", "Boost Software License"),
+    ("Zlib", "zlib License"),
+    ("Zlib", "Altered source versions must be plainly marked."),
+    ("AllRights", "All rights reserved."),
+    ("CopyrightLine", "Copyright 2020 Somebody"),
+    ("SeeFile", "See the file COPYING"),
+]
+
+
+def test_license_each_expression(documents):
+    assert {name for name, _ in EACH} == {name for name, _ in license_scan.SENTENCES}
+    got = {r.doc_id: r.sentence_ids for r in license_scan.scan(documents([(i, text) for i, (_, text) in enumerate(EACH)])).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(EACH)}
+
+
 # benchmark decontamination
 
 

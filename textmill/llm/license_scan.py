@@ -19,7 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A document without any of these words states no licence.
+#: Every expression of ``SENTENCES`` needs one of these: without them a document states no licence.
+#: All are letters and digits, so that only quotes (which cleaning drops) can part them in a text.
+NEEDED = (
+    r"licen|spdx|cc0|\bcc\b|creative|waive|attribution|applicable|gpl|warranty|permission|provided|event|redistribut|endorse"
+    r"|advertising|bsd|mpl|unencumbered|domain|wtfpl|altered|rights|copyright|copying"
+)
+#: The words by which the SQL chooses documents; fewer than ``NEEDED``.
 TRIGGER = r"licen[cs]|copyright|permission|warrant|redistribut|spdx|public domain|liab"
 
 #: (identifier, expression over a normalised sentence); the first that occurs names the sentence.
@@ -141,9 +147,10 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 #: Replacements that normalise a text, in order; the last one marks the ends of sentences.
+_QUOTES = r"[\"'`,()\x{201C}\x{201D}\x{2018}\x{2019}]"
 _CLEAN: list[tuple[str, str]] = [
     (r"\n[ \t]*[/*#;%!-]+[ \t]*", "\n"),
-    (r"[\"'`,()\x{201C}\x{201D}\x{2018}\x{2019}]", ""),
+    (_QUOTES, ""),
     (r"licence", "license"),
     (r"\bver?\. ?([0-9])", "version $1"),
     (r"\n[ \t\r]*\n", "\x01"),
@@ -178,8 +185,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``licenses``: names in alphabetical order between semicolons, ``unknown`` if no rule fits.
     """
-    # the first pass keeps the expensive cleaning away from documents without a word about licences
-    rows = docs.where(F.col("text").rlike(f"(?i){TRIGGER}"))
+    # the first pass keeps the expensive cleaning away from documents in which no expression can occur
+    rows = docs.where(F.regexp_replace(F.lower("text"), F.lit(_QUOTES), F.lit("")).rlike(NEEDED))
     named = rows.select("doc_id", F.filter(F.transform(sentences(F.col("text")), identifier), lambda x: x.isNotNull()).alias("ids")).where(F.size("ids") > 0)
     sequence = F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))
     parts = F.regexp_extract_all(sequence, F.lit(_rule_expression()), F.lit(0))
@@ -190,7 +197,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same by DuckDB over ``documents``."""
+    """The same by DuckDB over ``documents`` that have a word of ``TRIGGER``."""
 
     def quote(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
