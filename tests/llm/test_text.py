@@ -278,6 +278,85 @@ def test_license_each_expression(documents):
     assert got == {i: name for i, (name, _) in enumerate(EACH)}
 
 
+APACHE = """# Copyright 2020 Somebody
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+BSD3 = """Copyright (c) 2020, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+  * Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer.
+  * Redistributions in binary form must reproduce the above copyright
+    notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution.
+  * Neither the name of the copyright holder nor the names of its
+    contributors may be used to endorse or promote products derived from
+    this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER BE LIABLE FOR ANY DAMAGES.
+"""
+MIT_FULL = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT
+SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version {v} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "licenses", "ids"),
+    [
+        (APACHE, "Apache-2.0", "CopyrightLine,Apache2,ApacheMayNotUse,ApacheObtain,ApacheUnless,ApacheGoverning"),
+        (BSD3, "BSD-3-Clause", "CopyrightLine,BsdConditions,BsdSource,BsdBinary,BsdEndorse,AsIs,NoLiability"),
+        (MIT_FULL, "MIT", "Mit,CopyrightLine,MitGrant,MitNotice,AsIs,NoLiability"),
+        (GPL.format(v=3), "GPL-3.0-or-later", "Gpl3OrLater,GplWarranty,GplAny,GplReceived"),
+        (GPL.format(v=2), "GPL-2.0-or-later", "Gpl2OrLater,GplWarranty,GplAny,GplReceived"),
+        ("Under the MIT License or the Apache License 2.0.", "Apache-2.0;MIT", "Mit,Apache2"),
+        ("Under the GPL or LGPL version 3.", "GPL-3.0;LGPL", "Gpl3,LgplVersion"),
+        ("Creative Commons Attribution-ShareAlike", "CC-BY-SA", "CcBySa"),
+        ("Copyright: MIT License 2020", "MIT", "CopyrightLine,Mit"),
+    ],
+)
+def test_license_headers(documents, text, licenses, ids):
+    (got,) = license_scan.scan(documents([(1, text)])).collect()
+    assert (got.licenses, got.sentence_ids) == (licenses, ids)
+
+
 # benchmark decontamination
 
 

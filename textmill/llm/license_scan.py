@@ -1,8 +1,8 @@
 """License scans by sentence-rule recognition (German, Manabe and Inoue, 2010).
 
 A text is normalised (lower case, comment marks, quotes and commas dropped, British spelling made
-American) and cut into sentences.  Sentences are mapped to the identifiers of known licence sentences; the first entry of ``SENTENCES`` whose expression occurs in a sentence names
-it.  The sequence of identifiers is then matched against ``RULES`` from its first identifier on: at
+American) and cut into sentences.  Sentences are mapped to the identifiers of known licence sentences: all that occur in a sentence, from
+left to right; at each place the first entry of ``SENTENCES`` that fits is taken.  The sequence of identifiers is then matched against ``RULES`` from its first identifier on: at
 each place the first rule of the list that fits is taken and its identifiers are used up; an
 identifier that begins no rule is skipped.  A licence text that lacks a required sentence is thus not
 reported as that licence but as ``unknown``.
@@ -87,6 +87,15 @@ SENTENCES: list[tuple[str, str]] = [
     ("SeeFile", r"see (?:the )?(?:file )?(?:license|copying)(?:\.txt|\.md)?\b"),
 ]
 
+#: Forms for finding several identifiers in a sentence, where an expression would use up others' words.
+_HEADS = {name: "(?=.*".join(e.split(".*", 1)) + ")" for name, e in SENTENCES if ".*" in e} | {
+    "CcBy": r"\bcc[ -]by\b|creative commons attribution(?!-(?:noncommercial|sharealike|noderiv))",
+    "AsIs": r"\bprovided (?=(?:by .{1,80})?as[ -]is\b)",
+    "Mpl2": r"\bmozilla public license(?=.{0,20}2\.0)|\bmpl[ -]2\.0",
+    "CopyrightLine": r"\bcopyright\b(?=.{0,20}\b(?:19|20)[0-9]{2}\b)|\bcopyright c\b",
+}
+_ALTERNATIVES = "|".join(f"(?<{name}>{_HEADS.get(name, e)})" for name, e in SENTENCES)
+
 #: (licence, identifiers in order); at each place the first rule that fits is taken.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("Apache2", "ApacheMayNotUse", "ApacheObtain", "ApacheUnless", "ApacheGoverning")),
@@ -168,16 +177,22 @@ def sentences(text: Column) -> Column:
     return F.split(clean, "\x01")
 
 
-def identifier(sentence: Column) -> Column:
-    """Identifier of a normalised sentence; null of an unknown one."""
-    found = F.when(sentence.rlike(SENTENCES[0][1]), SENTENCES[0][0])
-    for name, expression in SENTENCES[1:]:
-        found = found.when(sentence.rlike(expression), name)
-    return found
+def identifiers(sentence: Column) -> Column:
+    """Identifiers in a normalised sentence, from left to right."""
+    # each find becomes all names, each with the words its own alternative took; sentences have no capitals
+    marks = "".join(f"{name}\x03${{{name}}}\x04" for name, _ in SENTENCES)
+    marked = F.regexp_replace(sentence, F.lit(_ALTERNATIVES), F.lit(marks))
+    return F.regexp_extract_all(marked, F.lit("([A-Z][A-Za-z0-9]*)\x03[^\x04]"), F.lit(1))
+
+
+#: Rules of the scan: also the GPL's usual header, which names the licence again between two sentences.
+_SCAN_RULES = [
+    (f"GPL-{v}.0{later}", (f"Gpl{v}{name}", "GplWarranty", "GplAny", "GplReceived")) for v in (3, 2) for later, name in (("-or-later", "OrLater"), ("", ""))
+] + RULES
 
 
-def _rule_expression() -> str:
-    return "|".join("".join(f"<{x}>" for x in rule) for _, rule in RULES)
+def _rule_expression(rules: list[tuple[str, tuple[str, ...]]]) -> str:
+    return "|".join("".join(f"<{x}>" for x in rule) for _, rule in rules)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -187,17 +202,19 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     # the first pass keeps the expensive cleaning away from documents in which no expression can occur
     rows = docs.where(F.regexp_replace(F.lower("text"), F.lit(_QUOTES), F.lit("")).rlike(NEEDED))
-    named = rows.select("doc_id", F.filter(F.transform(sentences(F.col("text")), identifier), lambda x: x.isNotNull()).alias("ids")).where(F.size("ids") > 0)
+    known = F.filter(F.transform(sentences(F.col("text")), identifiers), lambda x: F.size(x) > 0)
+    named = rows.select("doc_id", known.alias("known")).where(F.size("known") > 0)
+    named = named.select("doc_id", F.flatten("known").alias("ids"), F.size("known").cast("bigint").alias("n_sentences"))
     sequence = F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))
-    parts = F.regexp_extract_all(sequence, F.lit(_rule_expression()), F.lit(0))
-    names = F.create_map(*[F.lit(x) for licence, rule in RULES for x in ("".join(f"<{i}>" for i in rule), licence)])
+    parts = F.regexp_extract_all(sequence, F.lit(_rule_expression(_SCAN_RULES)), F.lit(0))
+    names = F.create_map(*[F.lit(x) for licence, rule in _SCAN_RULES for x in ("".join(f"<{i}>" for i in rule), licence)])
     licences = F.array_join(F.array_sort(F.array_distinct(F.transform(parts, lambda p: names[p]))), ";")
-    out = named.select("doc_id", licences.alias("licenses"), F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").cast("bigint").alias("n_sentences"))
+    out = named.select("doc_id", licences.alias("licenses"), F.array_join("ids", ",").alias("sentence_ids"), "n_sentences")
     return out.withColumn("licenses", F.when(F.col("licenses") == "", "unknown").otherwise(F.col("licenses")))
 
 
 def oracle_sql() -> str:
-    """The same by DuckDB over ``documents`` that have a word of ``TRIGGER``."""
+    """The same by DuckDB over ``documents`` that have a word of ``TRIGGER``, with one identifier for a sentence."""
 
     def quote(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -222,7 +239,7 @@ lists AS (
   SELECT r, any_value(doc_id) AS doc_id, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n
   FROM named WHERE id IS NOT NULL GROUP BY r),
 found AS (
-  SELECT r, unnest(regexp_extract_all('<' || replace(ids, ',', '><') || '>', {quote(_rule_expression())})) AS part FROM lists),
+  SELECT r, unnest(regexp_extract_all('<' || replace(ids, ',', '><') || '>', {quote(_rule_expression(RULES))})) AS part FROM lists),
 names AS (
   SELECT r, string_agg(DISTINCT name, ';' ORDER BY name) AS licenses
   FROM (SELECT r, CASE part {name} END AS name FROM found) GROUP BY r)
