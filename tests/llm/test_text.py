@@ -502,6 +502,24 @@ def test_html(spark, limit, tree):
     assert all("All rights reserved" not in text[i] and "Item 2" not in text[i] for i in range(24))
 
 
+@pytest.mark.parametrize("limit", [32_000_000, 0])
+def test_html_copies(spark, limit):
+    """Copies of a page don't make its main text a shared part."""
+    pages = site()[:24]
+    odd = "<html><body><div class='main'>" + "".join(f"<p>{w}" for w in WORDS[:37]) + "</div></body></html>"
+    once = pages + [(30, "http://lone.example/1", "<p>lone text"), (31, "http://site0.example/odd", odd)]
+    copies = [(32, "http://lone.example/2", once[24][2]), (33, "http://site0.example/again", odd), (34, "http://site0.example/third", odd)]
+    settings = html_style_tree.Settings(max_broadcast_bytes=limit)
+
+    def texts(rows):
+        return {r.page_id: (r.text, r.n_removed) for r in html_style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), settings).collect()}
+
+    alone, got = texts(once), texts(once + copies)
+    assert {p: got[p] for p in alone} == alone
+    assert got[32] == got[30] == ("lone text", 0) and got[33] == got[34] == got[31]
+    assert got[31][0].split() == WORDS[:37]
+
+
 def test_html_empty(spark):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert html_style_tree.extract(df).count() == 0

@@ -18,8 +18,8 @@ has more than ``max_tree`` pairs.  The keys of removable elements are broadcast
 
 Elements deeper than ``DEPTH`` become children of their ancestor at that depth, as browsers do.
 Defined results: a null html has a null text; an empty one an empty text; a null or malformed url
-counts as host ``""``; broken markup is read leniently; repeated rows each count as a page; rows
-with equal page_id are cleaned one by one; other columns are ignored.
+counts as host ``""``; broken markup is read leniently; rows with
+the same host and html count as one page and are each cleaned; rows with equal page_id are cleaned one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,8 +154,22 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host.alias("host"), "html")
 
 
-def style_counts(pages: DataFrame) -> DataFrame:
-    """(site, elem, parent, style, depth, kids, n): pages in which an element has a style; site: the tree's root."""
+def _once(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct rows (host, html); only rows that share a hash with others are moved."""
+    keyed = rows.withColumn("key", F.xxhash64("host", "html"))
+    repeated = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
+    n = repeated.count()
+    if n == 0:
+        return rows
+    if n * 8 > settings.max_broadcast_bytes:
+        return rows.distinct()
+    repeated = F.broadcast(repeated)
+    copies = keyed.join(repeated, "key", "left_semi").select("host", "html").distinct()
+    return keyed.join(repeated, "key", "left_anti").select("host", "html").union(copies)
+
+
+def style_counts(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(site, elem, parent, style, depth, kids, n): distinct pages in which an element has a style; site: the tree's root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["site", "elem", "parent", "style", "depth", "kids", "n"]
@@ -178,7 +192,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
         if counts:
             yield flush(counts)
 
-    rows = _pages(pages).where("html IS NOT NULL").select("host", "html")
+    rows = _once(_pages(pages).where("html IS NOT NULL").select("host", "html"), settings)
     counted = rows.mapInArrow(run, "site bigint, elem bigint, parent bigint, style bigint, depth smallint, kids int, n bigint")
     return counted.groupBy("site", "elem", "parent", "style", "depth", "kids").agg(F.sum("n").alias("n"))
 
@@ -189,7 +203,7 @@ def importance(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     The tree of a host with at most ``max_tree`` rows is brought up in one pass of one task, hosts side
     by side; a larger one level by level with joins.  The result is the same.
     """
-    counts = style_counts(pages)
+    counts = style_counts(pages, settings)
     elems = counts.groupBy("elem").agg(F.sum("n").alias("m")).where("m > 1")
     shared = cut_lineage(counts.join(elems, "elem"))
     large = cut_lineage(shared.groupBy("site").agg(F.count("*").alias("rows")).where(F.col("rows") > settings.max_tree).select("site"))
