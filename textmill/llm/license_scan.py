@@ -1,17 +1,19 @@
 """License scans by sentence-rule recognition (German, Manabe and Inoue, 2010).
 
 A text is normalised (lower case, comment marks, quotes and commas dropped, British spelling made
-American) and cut into sentences.  Sentences are mapped to the identifiers of known licence sentences: all that occur in a sentence, from
-left to right; at each place the first entry of ``SENTENCES`` that fits is taken.  The sequence of identifiers is then matched against ``RULES`` from its first identifier on: at
-each place the first rule of the list that fits is taken and its identifiers are used up; an
-identifier that begins no rule is skipped.  A licence text that lacks a required sentence is thus not
+American) and cut into sentences.  Sentences are mapped to the identifiers of known licence sentences:
+all that occur in a sentence, from left to right; at each place the first entry of ``SENTENCES`` that
+fits is taken.  The sequence of identifiers is then matched against the rules from its first
+identifier on: at each place the first rule of the list that fits is taken and its identifiers are
+used up; an identifier that begins no rule is skipped.  A licence text that lacks a required sentence is thus not
 reported as that licence but as ``unknown``.
 
 All of it is Column expressions in one narrow pass: no shuffle, no Python.  The tables are constants.
 
 Defined results: documents without a known sentence (null, empty and wordless texts too) have no row;
 repeated rows and rows with a null doc_id each have a row of their own; a licence that a document
-states several times is named once; texts are scanned whole; other columns are ignored.
+states several times is named once; texts are scanned whole; other columns are ignored.  Documents
+are sieved by ``NEEDED`` first, of which every expression has a word, so the sieve loses none.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ NEEDED = (
     r"licen|spdx|cc0|\bcc\b|creative|waive|attribution|applicable|gpl|warranty|permission|provided|event|redistribut|endorse"
     r"|advertising|bsd|mpl|unencumbered|domain|wtfpl|altered|rights|copyright|copying"
 )
-#: The words by which the SQL chooses documents; fewer than ``NEEDED``.
-TRIGGER = r"licen[cs]|copyright|permission|warrant|redistribut|spdx|public domain|liab"
 
 #: (identifier, expression over a normalised sentence); the first that occurs names the sentence.
 SENTENCES: list[tuple[str, str]] = [
@@ -94,7 +94,7 @@ _HEADS = {name: "(?=.*".join(e.split(".*", 1)) + ")" for name, e in SENTENCES if
     "Mpl2": r"\bmozilla public license(?=.{0,20}2\.0)|\bmpl[ -]2\.0",
     "CopyrightLine": r"\bcopyright\b(?=.{0,20}\b(?:19|20)[0-9]{2}\b)|\bcopyright c\b",
 }
-_ALTERNATIVES = "|".join(f"(?<{name}>{_HEADS.get(name, e)})" for name, e in SENTENCES)
+_ALTERNATIVES = "(?s)" + "|".join(f"(?<{name}>{_HEADS.get(name, e)})" for name, e in SENTENCES)
 
 #: (licence, identifiers in order); at each place the first rule that fits is taken.
 RULES: list[tuple[str, tuple[str, ...]]] = [
@@ -213,8 +213,19 @@ def scan(docs: DataFrame) -> DataFrame:
     return out.withColumn("licenses", F.when(F.col("licenses") == "", "unknown").otherwise(F.col("licenses")))
 
 
+#: For the SQL, whose expressions can't look ahead: the words that a find of an expression uses up ...
+_USED = {name: e.split(".*", 1)[0] for name, e in SENTENCES if ".*" in e} | {
+    "CcBy": r"\bcc[ -]by\b|creative commons attribution",
+    "AsIs": r"\bprovided ",
+    "Mpl2": r"\bmozilla public license|\bmpl[ -]2\.0",
+    "CopyrightLine": r"\bcopyright\b",
+}
+#: ... and what an expression must not be followed by.
+_UNLESS = {"CcBy": r"creative commons attribution-(?:noncommercial|sharealike|noderiv)"}
+
+
 def oracle_sql() -> str:
-    """The same by DuckDB over ``documents`` that have a word of ``TRIGGER``, with one identifier for a sentence."""
+    """The same by DuckDB over all of ``documents``, one find after the other by a recursive query."""
 
     def quote(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -222,26 +233,41 @@ def oracle_sql() -> str:
     clean = "chr(10) || lower(text)"
     for old, new in _CLEAN:
         clean = f"regexp_replace({clean}, {quote(old)}, {quote(new.replace('$1', chr(92) + '1'))}, 'g')"
-    case = " ".join(f"WHEN regexp_matches(s, {quote(e)}) THEN {quote(n)}" for n, e in SENTENCES)
+    used = {name: _USED.get(name, e) for name, e in SENTENCES}
+    heads = "|".join(f"(?:{e})" for e in used.values())
+
+    # a rest begins with the character before it, for the word boundaries
+    def fits(name: str, e: str) -> str:
+        test = f"regexp_matches(t, {quote(f'(?s)^.(?:{e})')})"
+        return test + (f" AND NOT regexp_matches(t, {quote(f'(?s)^.(?:{_UNLESS[name]})')})" if name in _UNLESS else "")
+
+    case = " ".join(f"WHEN {fits(n, e)} THEN {quote(n)}" for n, e in SENTENCES)
+    length = " ".join(f"WHEN {quote(n)} THEN length(regexp_extract(t, {quote(f'(?s)^.({e})')}, 1))" for n, e in used.items())
     seen: dict[str, str] = {}
-    for licence, rule in RULES:
+    for licence, rule in _SCAN_RULES:
         seen.setdefault("".join(f"<{i}>" for i in rule), licence)
     name = " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in seen.items())
+    begin = f"regexp_extract(rest, {quote(f'(?s)^(.*?).(?:{heads})')}, 1)"
     return f"""
-WITH cut AS (
+WITH RECURSIVE cut AS (
   SELECT row_number() OVER () AS r, doc_id, string_split({clean}, chr(1)) AS parts
-  FROM documents WHERE regexp_matches(text, {quote("(?i)" + TRIGGER)})),
+  FROM documents WHERE text IS NOT NULL),
 each AS (
-  SELECT r, doc_id, t.i, parts[t.i] AS s FROM cut, unnest(range(1, len(parts) + 1)) AS t(i)),
-named AS (
-  SELECT r, doc_id, i, CASE {case} END AS id FROM each),
+  SELECT r, doc_id, t.i, ' ' || parts[t.i] AS s FROM cut, unnest(range(1, len(parts) + 1)) AS t(i)),
+finds AS (
+  SELECT r, i, 0 AS k, s AS rest, NULL::VARCHAR AS id FROM each WHERE regexp_matches(s, {quote(f'(?s).(?:{heads})')})
+  UNION ALL
+  SELECT r, i, k + 1, substr(t, CASE WHEN id IS NULL THEN 2 ELSE 1 + CASE id {length} END END), id
+  FROM (SELECT r, i, k, t, CASE {case} END AS id
+        FROM (SELECT r, i, k, substr(rest, 1 + length({begin})) AS t
+              FROM finds WHERE regexp_matches(rest, {quote(f'(?s).(?:{heads})')})))),
+named AS (SELECT r, i, k, id FROM finds WHERE id IS NOT NULL),
 lists AS (
-  SELECT r, any_value(doc_id) AS doc_id, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n
-  FROM named WHERE id IS NOT NULL GROUP BY r),
+  SELECT r, string_agg(id, ',' ORDER BY i, k) AS ids, count(DISTINCT i) AS n FROM named GROUP BY r),
 found AS (
-  SELECT r, unnest(regexp_extract_all('<' || replace(ids, ',', '><') || '>', {quote(_rule_expression(RULES))})) AS part FROM lists),
+  SELECT r, unnest(regexp_extract_all('<' || replace(ids, ',', '><') || '>', {quote(_rule_expression(_SCAN_RULES))})) AS part FROM lists),
 names AS (
   SELECT r, string_agg(DISTINCT name, ';' ORDER BY name) AS licenses
   FROM (SELECT r, CASE part {name} END AS name FROM found) GROUP BY r)
 SELECT doc_id, coalesce(licenses, 'unknown') AS licenses, ids AS sentence_ids, n AS n_sentences
-FROM lists LEFT JOIN names USING (r)"""
+FROM lists JOIN cut USING (r) LEFT JOIN names USING (r)"""
