@@ -5,20 +5,24 @@ its ``seed`` words is the least of some ``words - seed + 1`` neighbouring ones (
 passage of ``words`` words has a selected position, the same one in each of its copies.
 
 1. Each selected position gives (seed hash, document, position); seeds of one document only go.
-2. Documents that still have positions give, for each, the suffix (``words`` words) and the words
-   before it that a passage through this position can have, as 32-bit word hashes.
+2. Positions that are left give the suffix (``words`` words) and the words before it that a passage
+   through this position can have, as 32-bit word hashes.
 3. Suffixes with equal seeds meet, sorted.  The longest common prefix with both neighbours bounds
    how far any match reaches to the right; within that bound each extension to the left is compared
    again, in sorted order, with its neighbours.  A passage found twice is marked in full.
 4. Marked passages of a document are merged to maximal spans.
 
-Seeds that more than ``crowd`` positions share are compared passage by passage, spread over the
-cluster, with the same result.  Every repeated passage of ``words`` words or more is found.
-
-Words are separated by ASCII white space and compared as bytes.  Defined results: null, empty and
-shorter texts have no spans; rows without doc_id are left out; rows that share a doc_id are one
-document, so they don't repeat each other; a passage that repeats only within one document isn't
-reported.  Other columns are ignored, whatever their names.
+The seeds that are left are sent to the texts as a filter, so no text moves; where it would exceed
+``max_filter_bytes``, positions and texts are joined by document.  Seeds that more than ``crowd``
+positions share never meet in one task: their passages are counted in each task first, and those that
+two documents have are joined back, with the same result.  Every repeated passage of ``words`` words
+or more is found.
+
+Words are separated by ASCII white space and compared by 31 bits of their hashes: passages that differ
+in one word only pass for equal with a probability of 2**-31, in more words with less.  Defined
+results: null, empty and shorter texts have no spans; rows without doc_id are left out; rows that
+share a doc_id are one document, so they don't repeat each other; a passage that repeats only within
+one document isn't reported.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import GRAPHIC, PIECE, U64, Words, column_bytes, mix, row_slices, word_table
+from textmill.llm.common import GRAPHIC, PIECE, U64, Words, column_bytes, cut_lineage, filter_of, may_contain, mix, row_slices, word_table, written
 
 _Q = 0xD6E8FEB86659FD93
 _Q_INV = pow(_Q, -1, 1 << 64)
@@ -45,6 +49,7 @@ class Settings:
     words: int = 50
     seed: int = 10
     crowd: int = 100_000
+    max_filter_bytes: int = 32_000_000
 
     @property
     def window(self) -> int:
@@ -156,6 +161,29 @@ def repeated(seeds: np.ndarray, docs: np.ndarray, context: np.ndarray, settings:
     return found, first[found], last[found]
 
 
+_AROUND = "seed bigint, suffix binary, doc_id bigint, at int, before binary"
+_PASSAGE = "key bigint, doc_id bigint, at int"
+
+
+def _surroundings(ids: np.ndarray, words: Words, text: np.ndarray, at: np.ndarray, seeds: np.ndarray, settings: Settings) -> Iterator[pa.RecordBatch]:
+    """What is compared of each position; ``ids`` by text."""
+    for part in range(0, len(at), 1 << 14):
+        t, a, h = (x[part : part + (1 << 14)] for x in (text, at, seeds))
+        context = contexts(words, t, a, settings)
+        tail = np.ascontiguousarray(context[:, settings.window - 1 :])
+        head = np.ascontiguousarray(context[:, : settings.window - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(h), _fixed(tail), pa.array(ids[t]), pa.array(a.astype(np.int32)), _fixed(head)], names=["seed", "suffix", "doc_id", "at", "before"])
+
+
+def _passages(ids: np.ndarray, words: Words, text: np.ndarray, at: np.ndarray, settings: Settings) -> Iterator[pa.RecordBatch]:
+    """Every passage through each position, by its hash and beginning."""
+    for part in range(0, len(at), 1 << 14):
+        t, a = (x[part : part + (1 << 14)] for x in (text, at))
+        hashed, inside = window_hashes(contexts(words, t, a, settings), settings)
+        row, s = np.nonzero(inside)
+        yield pa.RecordBatch.from_arrays([pa.array(mix(hashed[row, s] + U64(1)).view(np.int64)), pa.array(ids[t[row]]), pa.array((a[row] - s).astype(np.int32))], names=["key", "doc_id", "at"])
+
+
 def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): maximal spans covered by passages that other documents have."""
     rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -167,51 +195,61 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFram
                 text, at, seed = selected(words, settings)
                 yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(ids[lo + text]), pa.array(at.astype(np.int32))], names=["seed", "doc_id", "at"])
 
-    seed = Window.partitionBy("seed")
-    shared = (
-        rows.mapInArrow(select, "seed bigint, doc_id bigint, at int")
-        .select("seed", "doc_id", "at", F.min("doc_id").over(seed).alias("lo"), F.max("doc_id").over(seed).alias("hi"), F.count("*").over(seed).alias("n"))
-        .where("lo < hi")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("at", "seed", (F.col("n") > settings.crowd).alias("crowded"))).alias("marks"))
-    )
-    marks = shared.select(F.col("doc_id"), F.col("marks.at").alias("at"), F.col("marks.seed").alias("seed"), F.col("marks.crowded").alias("crowded"))
-
-    def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seed", "suffix", "doc_id", "at", "before"]
+    seeds = rows.mapInArrow(select, "seed bigint, doc_id bigint, at int")
+    counted = seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    shared = cut_lineage(counted.where("lo < hi").select("seed", (F.col("n") > settings.crowd).alias("crowded")))
+    plain, crowded = shared.where("NOT crowded").select("seed"), shared.where("crowded").select("seed")
+    found = _at(rows, seeds, plain, crowded, _AROUND, _surroundings, settings)
+    ordered = found.repartition("seed").sortWithinPartitions("seed", "suffix", "doc_id", "at")
+    spans = ordered.mapInArrow(_comparison(settings), "doc_id bigint, start_word int, end_word int")
+    if not crowded.isEmpty():
+        passages = written(_at(rows, seeds, crowded, crowded.limit(0), _PASSAGE, lambda ids, words, text, at, _, s: _passages(ids, words, text, at, s), settings), "passages")
+        several = passages.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
+        theirs = passages.join(several, "key", "left_semi").select("doc_id", "at", (F.col("at") + settings.words).cast("int"))
+        spans = spans.union(theirs)
+    return merge_spans(spans)
+
+
+#: Seeds that are left out of a filter's hits by name; 8 bytes each.
+_MAX_BANNED = 1_000_000
+
+
+def _at(rows: DataFrame, seeds: DataFrame, wanted: DataFrame, banned: DataFrame, schema: str, make, settings: Settings) -> DataFrame:
+    """What ``make`` gives for the positions of the wanted seeds, and for a few others but the banned ones; these match nothing."""
+    bits = filter_of(wanted, "seed", lambda c: c.to_numpy(), settings.max_filter_bytes)
+    if bits is not None and banned.limit(_MAX_BANNED + 1).count() <= _MAX_BANNED:
+        sent = rows.sparkSession.sparkContext.broadcast((bits, banned.toArrow().column("seed").to_numpy()))
+
+        def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id").to_numpy()
+                for lo, _, words in _tables(batch, settings):
+                    text, at, seed = selected(words, settings)
+                    hit = may_contain(sent.value[0], seed) & ~np.isin(seed.view(np.int64), sent.value[1])
+                    yield from make(ids[lo:], words, text[hit], at[hit], seed[hit].view(np.int64), settings)
+
+        return rows.mapInArrow(sieve, schema)
+    marks = seeds.join(wanted, "seed").groupBy("doc_id").agg(F.collect_list(F.struct("at", "seed")).alias("marks"))
+    marks = marks.select("doc_id", F.col("marks.at").alias("at"), F.col("marks.seed").alias("seed"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            lists = batch.column("at")
-            bounds = lists.offsets.to_numpy()
-            at_all = lists.values.to_numpy()
-            seed_all = batch.column("seed").values.to_numpy()
-            crowd_all = batch.column("crowded").values.to_numpy(zero_copy_only=False)
+            ids, bounds = batch.column("doc_id").to_numpy(), batch.column("at").offsets.to_numpy()
+            at_all, seed_all = (batch.column(c).values.to_numpy() for c in ("at", "seed"))
             for lo, hi, words in _tables(batch, settings):
                 mine = slice(int(bounds[lo]), int(bounds[hi]))
                 text = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
-                at, seeds, crowded = at_all[mine], seed_all[mine], crowd_all[mine]
-                for part in range(0, len(at), 1 << 14):
-                    t, a, h, c = (x[part : part + (1 << 14)] for x in (text, at, seeds, crowded))
-                    context = contexts(words, t, a, settings)
-                    few = np.flatnonzero(~c)
-                    tail = np.ascontiguousarray(context[few, settings.window - 1 :])
-                    head = np.ascontiguousarray(context[few, : settings.window - 1])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[few]), _fixed(tail), pa.array(ids[lo + t[few]]), pa.array(a[few]), _fixed(head)], names=names)
-                    if len(few) < len(c):
-                        hashed, inside = window_hashes(context, settings)
-                        row, s = np.nonzero(inside & c[:, None])
-                        empty = pa.nulls(len(row), pa.binary())
-                        key = mix(hashed[row, s] + U64(1))
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), empty, pa.array(ids[lo + t[row]]), pa.array((a[row] - s).astype(np.int32)), empty], names=names)
+                at, seed = at_all[mine], seed_all[mine]
+                fits = at < np.diff(words.first)[text]  # rows that share an id have other positions
+                yield from make(ids[lo:], words, text[fits], at[fits], seed[fits], settings)
+
+    return rows.join(marks, "doc_id").mapInArrow(listed, schema)
 
+
+def _comparison(settings: Settings):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start_word", "end_word"]
         held: list[pa.RecordBatch] = []
         kept = 0
-        crowd: tuple[int, int, list[int], bool] | None = None  # key, document, positions, seen in two documents
-
-        def spans(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=names)
 
         def settle(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(tables)
@@ -220,24 +258,10 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFram
             seeds, ids, at = (table.column(c).to_numpy() for c in ("seed", "doc_id", "at"))
             sides = [_matrix(table.column(c), len(seeds)) for c in ("before", "suffix")]
             row, first, last = repeated(seeds, ids, np.concatenate(sides, axis=1), settings)
-            yield spans(ids[row], at[row] - last, at[row] - first + settings.words)
+            spans = ids[row], (at[row] - last).astype(np.int32), (at[row] - first + settings.words).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in spans], names=["doc_id", "start_word", "end_word"])
 
         for batch in batches:
-            plain = np.asarray(batch.column("suffix").is_valid())
-            if not plain.all():
-                few = batch.filter(pa.array(~plain))
-                ids, starts = [], []
-                for key, doc, at in zip(few.column("seed").to_pylist(), few.column("doc_id").to_pylist(), few.column("at").to_pylist()):
-                    if crowd is None or crowd[0] != key:
-                        crowd = (key, doc, [at], False)
-                    elif crowd[3] or doc != crowd[1]:
-                        ids += [crowd[1]] * len(crowd[2]) + [doc]
-                        starts += [*crowd[2], at]
-                        crowd = (key, doc, [], True)
-                    else:
-                        crowd[2].append(at)
-                yield spans(np.array(ids, np.int64), np.array(starts, np.int32), np.array(starts, np.int32) + settings.words)
-                batch = batch.filter(pa.array(plain))
             if not batch.num_rows:
                 continue
             seeds = batch.column("seed").to_numpy()
@@ -251,10 +275,7 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFram
         if held:
             yield from settle(held)
 
-    schema = "seed bigint, suffix binary, doc_id bigint, at int, before binary"
-    around = rows.join(marks, "doc_id").mapInArrow(surround, schema)
-    ordered = around.repartition("seed").sortWithinPartitions(F.col("suffix").isNull(), "seed", "suffix", "doc_id", "at")
-    return merge_spans(ordered.mapInArrow(compare, "doc_id bigint, start_word int, end_word int"))
+    return compare
 
 
 def _fixed(matrix: np.ndarray) -> pa.Array:
