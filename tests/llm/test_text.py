@@ -3,12 +3,13 @@
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from textmill.llm import bpe, chat_format, decontaminate, html_style_tree, license_scan, toxicity
+from textmill.llm import bpe, chat_format, common, decontaminate, html_style_tree, license_scan, toxicity
 
 WORDS = [a + b for a in "ba ce di fo gu ha ki lo mu ne".split() for b in "ra se ti vo xu".split()]
 
@@ -78,6 +79,69 @@ def test_ftrl_step():
     assert model.weights(np.array([3]))[0] == pytest.approx((math.copysign(0.1, g) - g) / ((2 + 0.5) / 0.5 + 0.5))
 
 
+def plain_features(text, bits):
+    """Buckets of unigrams, bigrams and one-word skip-grams, from the words one by one."""
+    words = re.findall(r"\w+", text.lower())
+    raw = " ".join(words).encode()
+    h = common.word_table(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes
+
+    def bucket(x):
+        return int(common.mix(np.array([x & (1 << 64) - 1], np.uint64))[0]) >> 64 - bits
+
+    found = {bucket(int(x) + 0x51) for x in h}
+    for gap, salt in ((1, 0xA5), (2, 0xC3)):
+        for a, b in zip(h, h[gap:]):
+            second = int(common.mix(np.array([b], np.uint64) + np.uint64(salt))[0])
+            found.add(bucket(int(a) * 0x9DDFEA08EB382D69 + second))
+    return sorted(found)
+
+
+def plain_ftrl(rows, s):
+    """FTRL-proximal with dictionaries, one coordinate after the other; returns the scores of all rows."""
+    z, n = defaultdict(float), defaultdict(float)
+    bias = -1
+
+    def weight(i):
+        l1 = 0.0 if i == bias else s.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    def chance(x):
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(weight(i) for i in [*x, bias])))))
+
+    order = np.random.default_rng(7)
+    for _ in range(s.epochs):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            old, g = {i: weight(i) for i in [*x, bias]}, chance(x) - y
+            for i, w in old.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w
+                n[i] += g * g
+    return [chance(x) for x, _ in rows]
+
+
+def test_toxicity_against_plain_ftrl(spark, documents, labelled):
+    """The whole query, training included, against FTRL with dictionaries over the same rows."""
+    settings = toxicity.Settings(bits=12, l1=0.5, epochs=2)
+    rows, labels = labelled[0][:250], labelled[1][:250]
+    want = plain_ftrl([(plain_features(t, 12), y) for (_, t), (_, y) in zip(rows, labels)], settings)
+    got = {r.doc_id: r for r in toxicity.toxicity(documents(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"), settings).collect()}
+    assert [got[i].score for i, _ in rows] == pytest.approx(want, abs=1e-4)
+    assert all(got[i].toxic == (got[i].score >= settings.threshold) for i, _ in rows)
+
+
+def test_toxicity_sample(spark, documents, labelled):
+    """Labels without a text take no place in the sample, the largest label counts, and repeated ids don't add rows."""
+    rows, labels = labelled
+    settings = toxicity.Settings(train_rows=600)
+    bare = [(i, 1) for i in range(5000, 9000)]
+    marks = spark.createDataFrame(labels + bare + [(i, 0) for i, y in labels if y], "doc_id bigint, toxic int")
+    docs = documents(rows + rows[:50] * 3 + [(i, None) for i in range(5000, 6000)])
+    model = toxicity.train(docs, marks, settings)
+    assert model == toxicity.train(documents(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"), settings)
+
+
 # byte-level BPE
 
 
@@ -113,6 +177,20 @@ def test_bpe_agrees_with_tiktoken(ranks):
     assert values.tolist() == [x for t in texts for x in other.encode_ordinary(t)]
 
 
+def test_bpe_long_pieces(ranks):
+    """Unbroken pieces of a million bytes take time in proportion, and give what tiktoken gives."""
+    tiktoken = pytest.importorskip("tiktoken")
+    other = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdeinorst") for _ in range(n)) for n in (1023, 1024, 5000, 60_000)] + ["ab" * 30_000, "日本" * 3000, "!?" * 4000]
+    values, counts = bpe.Encoder(ranks).encode(texts)
+    assert values.tolist() == [x for t in texts for x in other.encode_ordinary(t)]
+    vast = "".join(rng.choice("abcdeinorst") for _ in range(1_000_000))
+    began = time.perf_counter()
+    values, _ = bpe.Encoder(ranks).encode([vast])
+    assert "".join(bpe.decode_stream(values.tolist(), ranks)) == vast and time.perf_counter() - began < 60
+
+
 def test_bpe_tables_may_be_emptied(ranks, monkeypatch):
     texts = odd_texts()
     want = bpe.Encoder(ranks).encode(texts)[0].tolist()
@@ -361,7 +439,7 @@ def test_license_headers(documents, text, licenses, ids):
 
 
 def norm(text):
-    return re.findall(r"(?:[a-z0-9_]|[^\x00-\x7f])+", (text or "").lower())
+    return re.findall("(?:[a-z0-9_]|[^\x00-\x7f\xa0-\xbf\u2000-\u206f\u3000-\u303f\uff01-\uff0f\uff1a-\uff20])+", (text or "").lower())
 
 
 def brute_leaks(rows, items, n=13):
@@ -389,7 +467,7 @@ def leaks_corpus():
             text = rng.choice(items)[1] or ""
             words = text.split()
             cut = words[rng.randrange(2) : len(words) - rng.randrange(2)]
-            parts += [rng.choice([" ", ", ", "\n"]).join(w.upper() if rng.random() < 0.2 else w for w in cut), prose(rng, 2)]
+            parts += [rng.choice([" ", ", ", "\n", "\u00a0", "\u201d \u2014 ", "\u3000", "\uff0c"]).join(w.upper() if rng.random() < 0.2 else w for w in cut), prose(rng, 2)]
         rows.append((i, rng.choice([" ", ".\n"]).join(parts)))
     return rows + [(200, None), (201, ""), (202, "unshort shortly"), (203, "a SHORT one"), (None, items[0][1]), (5, "x"), (204, "w " * 60_000 + items[4][1])], items
 
@@ -413,6 +491,16 @@ def test_leaks_in_parts(spark, documents, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_leaks(rows, items)
 
 
+def test_leaks_with_short_and_long_patterns():
+    rng = random.Random(3)
+    patterns = [b" a ", b" short ", b" of " + b"x" * 40 + b" ", *(" {} ".format(prose(rng, 13)).encode() for _ in range(20))]
+    tools = decontaminate.searchers(patterns)
+    assert [t.m for t in tools] == [3, min(len(p) for p in patterns if len(p) >= decontaminate.SHORT)]
+    text = b" a " + b" ".join(p.strip() for p in patterns) + b" a short a "
+    found = {(p, t.patterns[i]) for t in tools for p, i in zip(*map(np.ndarray.tolist, t.find(np.frombuffer(text, np.uint8), np.array([0, len(text)]))))}
+    assert found == {(k, p) for p in patterns for k in range(len(text)) if text.startswith(p, k)}
+
+
 def test_leaks_empty(spark, documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(documents([(1, "a b")]), none).count() == 0
@@ -520,6 +608,23 @@ def test_html_copies(spark, limit):
     assert got[31][0].split() == WORDS[:37]
 
 
+def test_html_depth(spark):
+    """Nesting of any depth keeps its shape: an end tag closes its own element."""
+    deep = html_style_tree.parse("<div><p>" + "<b>" * 3000 + "x" + "</b>" * 3000 + "</p><i>y</i></div><u>z</u>")
+    assert [c.name for c in deep.children] == ["div", "u"] and [c.name for c in deep.children[0].children] == ["p", "i"]
+    assert html_style_tree.parse("<div></span></b></i><p>x").children[0].children[0].name == "p"
+    long = "<div>" + "<p>word " * 200_000 + "</div>"
+    pages = spark.createDataFrame([(1, "http://a.b/", long, 0), (2, "http://a.b/2", "<i>" * 20_000 + "end", 0)], "page_id bigint, url string, html string, style int")
+    got = {r.page_id: (r.text, r.n_removed) for r in html_style_tree.extract(pages).collect()}
+    assert got == {1: ("\n".join(["word"] * 200_000), 0), 2: ("end", 0)}
+
+
+def test_html_keys():
+    keys = html_style_tree.Keys(np.array([5, -3, 9, -(1 << 63), (1 << 63) - 1]))
+    assert all(k in keys for k in (5, -3, 9, -(1 << 63), (1 << 63) - 1)) and not any(k in keys for k in (0, 4, 6, 10))
+    assert 1 not in html_style_tree.Keys(np.zeros(0, np.int64))
+
+
 def test_html_empty(spark):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert html_style_tree.extract(df).count() == 0

@@ -38,6 +38,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 MAX_VOCABULARY_BYTES = 64_000_000
 #: Transitions of the transducer, and distinct pieces with their tokens, that a worker keeps.
 MAX_TRANSITIONS, MAX_PIECES = 450_000, 200_000
+#: Pieces from this length on go through the transducer one by one: side by side they would be too few.
+LONG = 1024
 _SLICE = 1 << 19
 
 
@@ -138,6 +140,7 @@ class Transducer:
         self.output_number: dict[tuple[int, ...], int] = {(): 0}
         self.lengths, self.starts, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.finals = np.zeros(1024, np.int32)
+        self.single: dict[int, tuple[int, int]] = {}  # transitions that long pieces took
         self._table(1 << 16)
         self._state([(-1, 0, ())])
 
@@ -239,10 +242,16 @@ class Transducer:
         order = np.argsort(-sizes, kind="stable")
         lo = 0
         while lo < len(order):
-            # words of like length, in a matrix of bounded size
             width = max(1, int(sizes[order[lo]]))
+            if width >= LONG:
+                tokens = self._encode_long(words[order[lo]])
+                counts[order[lo]] = len(tokens)
+                parts.append((order[lo : lo + 1], tokens))
+                lo += 1
+                continue
+            # words of like length, in a matrix of bounded size
             hi = min(len(order), lo + max(1, (1 << 19) // width))
-            if self.filled > MAX_TRANSITIONS:
+            if self.filled + len(self.single) > MAX_TRANSITIONS:
                 self.reset()
             parts.append((order[lo:hi], self._encode([words[i] for i in order[lo:hi]], sizes[order[lo:hi]], counts, order[lo:hi])))
             lo = hi
@@ -253,6 +262,21 @@ class Transducer:
             out[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(len(tokens))] = tokens
         return out, counts
 
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        out: list[int] = []
+        state, single, outputs = 0, self.single, self.outputs
+        for byte in word:
+            key = state << 8 | byte
+            step = single.get(key)
+            if step is None:
+                if len(single) > MAX_TRANSITIONS:
+                    single.clear()
+                step = single[key] = self._step(state, byte)
+            state, emitted = step
+            if emitted:
+                out += outputs[emitted]
+        return np.array([*out, *outputs[self.finals[state]]], np.int32)
+
     def _encode(self, words: list[bytes], sizes: np.ndarray, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
         n, width = len(words), int(sizes[0])
         flat = np.frombuffer(b"".join(words), np.uint8)

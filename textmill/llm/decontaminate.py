@@ -1,14 +1,16 @@
 """Benchmark decontamination: Wu-Manber search for benchmark passages in documents.
 
-Texts and test items are normalised alike: lower case, words (letters, digits, underscore) joined by
-single blanks.  The patterns are all ``NGRAM``-word passages of every item, or the whole item where
+Texts and test items are normalised alike: lower case, words (letters, digits, underscore; no
+punctuation or spaces of any script) joined by single blanks.  The patterns are all ``NGRAM``-word passages of every item, or the whole item where
 it is shorter, each between blanks so that only whole words match.  A block shift table tells how
 far the search window may jump; where it tells nothing, the hash of the window's last block selects
 a bucket of patterns, and comparison of the bytes decides.  Windows of all stripes of a batch of
-texts advance together in numpy.
+texts advance together in numpy.  As the shortest pattern bounds the jumps, patterns of less than
+``SHORT`` bytes are searched on their own.
 
-The patterns (the benchmark, not the corpus) are broadcast after a check of their size against
-``MAX_BENCHMARK_BYTES``; a larger benchmark is searched in several passes over the documents.
+The patterns (the benchmark, not the corpus) are broadcast in parts of ``MAX_BENCHMARK_BYTES`` at most
+(one pattern more); a larger benchmark is searched in several passes over the documents.  A worker
+keeps a part's tables from task to task.
 
 Defined results: null or wordless texts and items match nothing; a document found with two rows is
 reported once for each item with the n-grams of all its rows counted once; repeated items share
@@ -17,6 +19,7 @@ their passages and are all reported; a null doc_id or item_id is reported as nul
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from textmill.llm.common import PIECE, U64, WORD, column_bytes, fresh, mix, release, row_slices
+from textmill.llm.common import PIECE, U64, column_bytes, cut_lineage, fresh, keep, mix, row_slices, without, word_bytes
 
 #: Words of a passage that count as contamination.
 NGRAM = 13
 #: Bytes of a block, and bits of the shift table's index.
 BLOCK, TABLE_BITS = 8, 20
+#: Bytes of a pattern that is searched with the long ones.
+SHORT = 32
 #: Bytes of a text that one search lane covers.
 STRIPE = 4096
 #: Normalised benchmark text that goes into one broadcast.
@@ -44,7 +49,7 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     out = np.full(len(data) + 2 * total, _BLANK, np.uint8)
     begin = offsets[:-1] + 2 * np.arange(total) + 1
     put = np.arange(len(data)) + np.repeat(2 * np.arange(total) + 1, np.diff(offsets))
-    out[put] = np.where(WORD[data], data, _BLANK)
+    out[put] = np.where(word_bytes(data), data, _BLANK)
     first = begin - 1
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != _BLANK) | (out[:-1] != _BLANK)
@@ -129,21 +134,30 @@ class WuManber:
         return np.array(where, np.int64), np.array(which, np.int64)
 
 
+def searchers(patterns: list[bytes]) -> list[WuManber]:
+    """One for the short patterns and one for the others, as far as there are any."""
+    classes = [p for p in patterns if len(p) < SHORT], [p for p in patterns if len(p) >= SHORT]
+    return [WuManber(c) for c in classes if c]
+
+
 def _parts(benchmark: DataFrame, n: int) -> Iterator[dict[bytes, list]]:
-    """Passage -> items, in parts of at most MAX_BENCHMARK_BYTES of patterns."""
-    part: dict[bytes, list] = {}
+    """Passage -> items, in parts of at most MAX_BENCHMARK_BYTES of patterns and items' mentions."""
+    part: dict[bytes, dict] = {}
     size = 0
+
+    def done() -> dict[bytes, list]:
+        return {passage: list(items) for passage, items in part.items()}
+
     for row in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
         for passage in passages(row["text"], n):
-            items = part.setdefault(passage, [])
-            if row["item_id"] not in items:
-                items.append(row["item_id"])
-            size += len(passage)
-        if size > MAX_BENCHMARK_BYTES:
-            yield part
-            part, size = {}, 0
+            items = part.setdefault(passage, {})
+            size += 16 if items else len(passage)
+            items[row["item_id"]] = None
+            if size > MAX_BENCHMARK_BYTES:
+                yield done()
+                part, size = {}, 0
     if part:
-        yield part
+        yield done()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
@@ -154,24 +168,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataF
     item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     found = spark.createDataFrame([], schema)
     for part in _parts(benchmark, n):
-        shared = spark.sparkContext.broadcast(part)
+        shared, key = spark.sparkContext.broadcast(part), ("leaks", uuid.uuid4().hex)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            release()
-            items = shared.value
-            searcher = WuManber(list(items))
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            items, tools = keep(key, lambda: (shared.value, searchers(list(shared.value))))
             for batch in batches:
                 data, offsets = column_bytes(batch.column("text"))
                 docs_, items_, passages_ = [], [], []
                 for lo, hi in row_slices(offsets, PIECE):
                     clean, bounds = normalise(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    where, which = searcher.find(clean, bounds)
-                    rows_ = lo + np.searchsorted(bounds, where, "right") - 1
-                    for r, i in sorted(set(zip(rows_.tolist(), which.tolist()))):
-                        for item in items[searcher.patterns[i]]:
-                            docs_.append(r)
-                            items_.append(item)
-                            passages_.append(searcher.patterns[i])
+                    for tool in tools:
+                        where, which = tool.find(clean, bounds)
+                        rows_ = lo + np.searchsorted(bounds, where, "right") - 1
+                        for r, i in sorted(set(zip(rows_.tolist(), which.tolist()))):
+                            for item in items[tool.patterns[i]]:
+                                docs_.append(r)
+                                items_.append(item)
+                                passages_.append(tool.patterns[i])
                 if docs_:
                     ids = batch.column("doc_id").take(pa.array(docs_))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(items_, item_type), pa.array(passages_, pa.binary())], names=["doc_id", "item_id", "passage"])
@@ -183,5 +196,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataF
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """Documents without any benchmark passage, with all their columns."""
     leaked = fresh(docs, "_leaked_id")
-    leaks = contaminated(docs, benchmark, n).select(F.col("doc_id").alias(leaked)).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col(leaked)), "left_anti")
+    leaks = cut_lineage(contaminated(docs, benchmark, n).select(F.col("doc_id").alias(leaked)).distinct())
+    return without(docs, leaks, docs["doc_id"].eqNullSafe(F.col(leaked)))

@@ -16,10 +16,10 @@ up from the deepest elements: a host at a time in one task, or with joins level
 has more than ``max_tree`` pairs.  The keys of removable elements are broadcast if they are at most
 ``max_broadcast_bytes``; beyond that they are joined to the pages.
 
-Elements deeper than ``DEPTH`` become children of their ancestor at that depth, as browsers do.
 Defined results: a null html has a null text; an empty one an empty text; a null or malformed url
-counts as host ``""``; broken markup is read leniently; rows with
-the same host and html count as one page and are each cleaned; rows with equal page_id are cleaned one by one; other columns are ignored.
+counts as host ``""``; broken markup is read leniently, to any depth; rows with the same host and html
+count as one page and are each cleaned; rows with equal page_id are cleaned one by one; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,7 +40,6 @@ from pyspark.sql import functions as F
 
 from textmill.llm.common import cut_lineage
 
-DEPTH = 48
 _MARKUP = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[!?][^>]*>)", re.S)
 _CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SOURCE = re.compile(r"""\bsrc\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -69,6 +70,7 @@ def parse(html: str) -> Node:
     """The DOM as far as it matters: elements by tag and class, texts, image sources."""
     root = Node("#page")
     stack = [root]
+    opened: Counter = Counter()  # tags on the stack
     at, size = 0, len(html)
 
     def text(raw: str) -> None:
@@ -85,9 +87,10 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name.partition(".")[0] == tag:
-                    del stack[i:]
+            while opened[tag]:
+                gone = stack.pop().name.partition(".")[0]
+                opened[gone] -= 1
+                if gone == tag:
                     break
             continue
         if tag in _RAW_END:
@@ -96,7 +99,7 @@ def parse(html: str) -> Node:
             continue
         ends = _ENDS.get(tag)
         if ends and stack[-1].name.partition(".")[0] in ends:
-            stack.pop()
+            opened[stack.pop().name.partition(".")[0]] -= 1
         kind = _CLASS.search(found[3]) if found[3] else None
         node = Node(f"{tag}.{kind[1].strip(chr(34) + chr(39)).lower()}" if kind else tag)
         stack[-1].children.append(node)
@@ -104,8 +107,9 @@ def parse(html: str) -> Node:
             source = _SOURCE.search(found[3]) if tag == "img" else None
             if source:
                 node.content = source[1].strip("\"'")
-        elif not found[3].endswith("/") and len(stack) < DEPTH:
+        elif not found[3].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     if at < size:
         text(html[at:])
     return root
@@ -131,7 +135,19 @@ def walk(host: str, root: Node) -> Iterator[tuple[Node, int, int, int, int, int]
         todo += [(c, _hash(style, i), style, depth + 1) for i, c in enumerate(node.children)]
 
 
-def clean(host: str, html: str, noisy: frozenset[int] | set[int]) -> tuple[str, int]:
+class Keys:
+    """A set of 64-bit keys as one sorted array of bytes: 8 bytes a key wherever it is sent."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.raw = np.sort(keys.astype(np.int64)).tobytes()
+
+    def __contains__(self, key: int) -> bool:
+        keys = memoryview(self.raw).cast("q")
+        at = bisect_left(keys, key)
+        return at < len(keys) and keys[at] == key
+
+
+def clean(host: str, html: str, noisy: Container[int]) -> tuple[str, int]:
     """(text without the noisy branches, number of branches removed)."""
     texts: list[str] = []
     removed = 0
@@ -173,7 +189,7 @@ def style_counts(pages: DataFrame, settings: Settings = Settings()) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["site", "elem", "parent", "style", "depth", "kids", "n"]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int64())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
 
         def flush(counts: Counter) -> pa.RecordBatch:
             columns = zip(*(k + (n,) for k, n in counts.items()))
@@ -193,7 +209,7 @@ def style_counts(pages: DataFrame, settings: Settings = Settings()) -> DataFrame
             yield flush(counts)
 
     rows = _once(_pages(pages).where("html IS NOT NULL").select("host", "html"), settings)
-    counted = rows.mapInArrow(run, "site bigint, elem bigint, parent bigint, style bigint, depth smallint, kids int, n bigint")
+    counted = rows.mapInArrow(run, "site bigint, elem bigint, parent bigint, style bigint, depth int, kids int, n bigint")
     return counted.groupBy("site", "elem", "parent", "style", "depth", "kids").agg(F.sum("n").alias("n"))
 
 
@@ -289,7 +305,7 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, text string, n_removed bigint"
     rows = _pages(pages)
     if noisy.count() * 8 <= settings.max_broadcast_bytes:
-        shared = spark.sparkContext.broadcast(frozenset(r[0] for r in noisy.toLocalIterator()))
+        shared = spark.sparkContext.broadcast(Keys(noisy.toArrow().column("elem").to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _cleaned(batches, lambda _: shared.value)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import bpe, chat_format, decontaminate, exact_dedup, html_style_tree, license_scan, line_dedup, simhash, suffix_dedup, toxicity
-from textmill.llm.common import ship
+from textmill.llm.common import WORD_CLASS, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,11 +78,11 @@ SELECT doc_id, kept_doc_id FROM (
   FROM documents WHERE text IS NOT NULL)
 WHERE place > 1"""
 
-LEAKS_SQL = r"""
+LEAKS_SQL = rf"""
 WITH words AS (
-  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '{WORD_CLASS}+') AS w FROM documents
   UNION ALL
-  SELECT 'b', item_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') FROM benchmark),
+  SELECT 'b', item_id, regexp_extract_all(lower(text), '{WORD_CLASS}+') FROM benchmark),
 items AS (
   SELECT DISTINCT id AS item_id, least(len(w), 13) AS n,
          array_to_string(w[i:i + 12], ' ') AS passage

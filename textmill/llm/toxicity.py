@@ -5,8 +5,9 @@ labelled rows (``Settings.train_rows``).  Per-coordinate learning rates and L1 l
 non-zero weights of 2**20; these alone are broadcast.  Scoring is one narrow pass over all texts.
 
 Defined results: a null text has a null score and isn't toxic; an empty text scores the bias alone;
-labels that are null or whose document is missing are ignored, of several labels for one document
-the largest counts; without any label of both kinds nothing is toxic (score 0).  Repeated rows are
+labels that are null or whose document is missing or has no text are ignored and take no place in the
+sample; of several labels for one document the largest counts, of several texts for one doc_id the
+least is trained on; without any label of both kinds nothing is toxic (score 0).  Repeated rows are
 scored alike, a text of any length is scored whole, other columns are ignored.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import PIECE, U64, column_bytes, mix, owners, release, row_slices, word_table
+from textmill.llm.common import PIECE, U64, column_bytes, distinct, mix, owners, release, row_slices, word_table
 
 
 @dataclass(frozen=True)
@@ -92,15 +93,19 @@ def fit(texts: list[np.ndarray], labels: list[int], settings: Settings) -> tuple
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> bytes:
     """The compact model, fitted in one task; empty where there is nothing to fit."""
+    texts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL")
     sample = (
         labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
+        .join(texts.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(settings.train_rows)
     )
     # at most train_rows rows of 12 bytes: a bounded broadcast
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.lower("text").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = texts.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(sample), "doc_id")
+    # and at most train_rows texts in the one task, however often an id is repeated
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -109,13 +114,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             data, offsets = column_bytes(batch.column("text"))
             for lo, hi in row_slices(offsets):
                 own, bucket = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], settings.bits)
-                key = np.unique(own << settings.bits | bucket)
+                key = distinct(own << settings.bits | bucket)
                 cut = np.searchsorted(key >> settings.bits, np.arange(hi - lo + 1))
                 key &= (1 << settings.bits) - 1
                 texts += [key[a:b].astype(np.uint32) for a, b in zip(cut, cut[1:])]
             ids += batch.column("doc_id").to_pylist()
             ys += batch.column("toxic").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], len(texts[i]), texts[i].tobytes()))
+        order = sorted(range(len(ids)), key=ids.__getitem__)
         model = fit([texts[i] for i in order], [int(ys[i] > 0) for i in order], settings)
         if model is not None:
             np.savez(out := io.BytesIO(), at=model[0], w=model[1], bias=model[2])
@@ -148,7 +153,7 @@ def scorer(docs: DataFrame, model: bytes, settings: Settings = Settings()):
         for lo, hi in row_slices(offsets, PIECE):
             own, bucket = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], settings.bits)
             live = w[bucket] != 0
-            key = np.unique(own[live] << settings.bits | bucket[live])
+            key = distinct(own[live] << settings.bits | bucket[live])
             out[lo:hi] += np.bincount(key >> settings.bits, w[key & ((1 << settings.bits) - 1)], hi - lo)
         out = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
         return pa.array(np.where(np.asarray(text.is_null()), np.nan, out), from_pandas=True)
