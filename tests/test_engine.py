@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from textmill.functions.analyzer import STOP_WORDS
@@ -254,3 +255,98 @@ def test_operation_log(spark, tmp_path):
     want = [(1, "x"), (3, "again")]
     assert sorted(map(tuple, log.snapshot().collect())) == want
     assert sorted(map(tuple, log.compact(str(tmp_path / "small")).snapshot().collect())) == want
+
+
+def test_changes_tokenise_only_what_is_new(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"alpha beta{i}") for i in range(20)], "doc_id bigint, text string")
+    made = Index.build(docs, fields=("text",))
+    storage.save_index(made, str(tmp_path))
+    stored = storage.load_index(spark, str(tmp_path), made.config)
+    new = spark.createDataFrame([(3, "gamma"), (99, "gamma delta"), (99, "zeta")], "doc_id bigint, text string")
+    for changed, plain in (
+        (stored.upsert(new), made.upsert(new)),
+        (stored.delete(5), made.delete(5)),
+        (stored.delete_where(new), made.delete_where(new)),
+        (stored.update(7, new.limit(1).select("text")), made.update(7, new.limit(1).select("text"))),
+    ):
+        for name in ("postings", "doc_stats", "vocab", "stats"):
+            columns = sorted(getattr(plain, name).columns)
+            assert sorted(getattr(changed, name).select(columns).collect()) == sorted(getattr(plain, name).select(columns).collect())
+    tree = stored.delete(5).postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in tree
+    assert stored.upsert(new).document(99).collect()[0].text == "gamma delta"
+
+
+def test_search_with_key_tables_and_kept_pages(spark):
+    engine = Engine(spark)
+    engine.create("d", [{"id": i, "text": f"alpha {'x' * (i % 3)}", "n": i} for i in range(30)], "id")
+    keys = spark.createDataFrame([(3,), (4,), (8,)], "doc_id bigint")
+    request = Request("alpha", (Condition("doc_id", "in", keys=keys),), sort_field="n", sort_order="desc", size=2)
+    found = engine.search("d", request)
+    assert [r.doc_id for r in found.items.collect()] == [8, 4] and (found.total, found.total_pages, found.next_page) == (3, 2, 2)
+    before = engine.cache.hits
+    again = engine.search("d", request)
+    assert engine.cache.hits == before + 1 and [r.doc_id for r in again.items.collect()] == [8, 4]
+    other = Request("alpha", (Condition("doc_id", "in", keys=keys.limit(1)),), sort_field="n")
+    assert other.checksum() != request.checksum()
+    engine.replace("d", engine.get("d").delete(8))
+    assert [r.doc_id for r in engine.search("d", request).items.collect()] == [4, 3]
+    assert len(engine.log) == 3 and engine.log.maxlen and {r["index"]: r.queries for r in engine.metrics().collect()} == {"d": 3}
+
+
+def test_created_index_replaces_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "doc_id bigint, text string")
+    index = Engine(spark).create("d", docs)
+    assert sorted(r.text for r in index.corpus.collect()) == ["a", "c"]
+    assert {r.term: r.df for r in index.vocab.collect()} == {"c": 1}  # a is a stop word
+
+
+def test_late_operations(spark, tmp_path):
+    log = OperationLog(spark, str(tmp_path / "log"), "doc_id bigint, text string")
+    schema = "op string, seq bigint, doc_id bigint, text string"
+    log.append(spark.createDataFrame([("index", 5, 1, "new"), ("delete", 9, 2, None)], schema), 0)
+    log.append(spark.createDataFrame([("index", 3, 1, "late"), ("index", 8, 2, "late"), ("index", 1, 3, "only")], schema), 1)
+    assert sorted(map(tuple, log.snapshot().collect())) == [(1, "new"), (3, "only")]
+
+
+def test_a_new_checkpoint_overwrites_nothing(spark, tmp_path):
+    log = OperationLog(spark, str(tmp_path / "log"), "doc_id bigint, text string")
+    for k, text in enumerate(("one", "two", "three")):
+        spark.createDataFrame([(k, text), (100, text)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / f"source{k}"))
+        stream = spark.readStream.schema("doc_id bigint, text string").parquet(str(tmp_path / f"source{k}"))
+        log.start(stream, str(tmp_path / f"checkpoint{min(k, 1)}{k}")).awaitTermination()
+    assert sorted(map(tuple, log.snapshot().collect())) == [(0, "one"), (1, "two"), (2, "three"), (100, "three")]
+    base = log._base(str(tmp_path / "checkpoint11"))
+    assert base == 1 and log._base(str(tmp_path / "checkpoint12")) == 2
+
+
+def test_jdbc(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = [(i, f"text {i}") for i in range(100)]
+    try:
+        spark.createDataFrame(rows, "id bigint, body string").write.format("jdbc").option("url", url).option("dbtable", "docs").option("driver", driver).save()
+    except Py4JJavaError as e:
+        pytest.skip(f"no database driver: {e.java_exception}")
+    query = "SELECT \"id\", \"body\" FROM docs WHERE \"id\" < 90"
+    plain = ingest.from_jdbc(spark, url, query, "id", driver=driver)
+    parts = ingest.from_jdbc(spark, url, query, "id", partition_column='"id"', partitions=4, driver=driver)
+    for df in (plain, parts, ingest.as_corpus(spark, {"database": {"url": url, "query": query, "driver": driver}}, "id")):
+        assert sorted((r.doc_id, r.body) for r in df.collect()) == rows[:90]
+    assert parts.rdd.getNumPartitions() == 4
+
+
+def test_row_count(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2}, {"a": 3}]')
+    (tmp_path / "b.json").write_text('{"a": 1}\n{"a": 2}\n')
+    assert ingest.row_count(spark, str(tmp_path / "a.json")) == 3
+    assert ingest.row_count(spark, str(tmp_path / "b.json"), lines=True) == 2
+
+
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_autocorrect_both_ways(spark, monkeypatch, limit):
+    monkeypatch.setattr(features, "MAX_ASKED", limit)
+    words = ["kitten", "sitting", "mitten", "abc", "zebra", "été"]
+    index = Index.build(spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string"))
+    asked = spark.createDataFrame([(t,) for t in ["kiten", "zebra", "sittin", "nothing_like", "abd", "ab", "", "kitten"]], "token string")
+    got = {r.token: r.corrected for r in features.autocorrect(index, asked).collect()}
+    assert got == {"kiten": "kitten", "zebra": "zebra", "sittin": "sitting", "nothing_like": "nothing_like", "abd": "abc", "ab": "abc", "": "t", "kitten": "kitten"}

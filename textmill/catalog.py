@@ -9,16 +9,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import text
 from textmill.functions.analyzer import DEFAULT, STOP_WORDS, Analyzer
 from textmill.operators import features, filters, rank
 from textmill.operators.filters import Condition
-from textmill.operators.index import Index, IndexConfig
+from textmill.operators.index import Index
 from textmill.operators.query import Bool, Field, Filter, Fuzzy, Not, Phrase, Query, Range, Sql, Term, Wildcard, token_union
-from textmill.plans.engine import Request
+from textmill.plans.engine import Engine, Request
 from textmill.plans.parser import Builder, Parser
 from textmill.sources import ingest, storage
 from textmill.streaming.ingest import DELETE, INDEX, UPDATE, OperationLog
@@ -276,22 +276,22 @@ def _over(documents: str, select: str) -> str:
 
 @query(_over("SELECT doc_id, CASE WHEN doc_id = 7 THEN 'thtion replaced thtion' ELSE text END AS text FROM documents", _CHANGED))
 def update_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lazy(spark, sf_dir).update(7, spark.createDataFrame([("thtion replaced thtion",)], "text string")).vocab
+    return index_of(spark, sf_dir).update(7, spark.createDataFrame([("thtion replaced thtion",)], "text string")).vocab
 
 
 @query(_over("SELECT doc_id, text FROM documents WHERE doc_id <> 7", _CHANGED))
 def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lazy(spark, sf_dir).delete(7).vocab
+    return index_of(spark, sf_dir).delete(7).vocab
 
 
 @query(_over("SELECT doc_id, text FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) WHERE k <> 12", _CHANGED))
 def ordinal_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lazy(spark, sf_dir).delete_at(12).vocab
+    return index_of(spark, sf_dir).delete_at(12).vocab
 
 
 @query(_over("SELECT doc_id, CASE WHEN k = 5 THEN 'ertion by place' ELSE text END AS text FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents)", _CHANGED))
 def ordinal_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lazy(spark, sf_dir).update_at(5, spark.createDataFrame([("ertion by place",)], "text string")).vocab
+    return index_of(spark, sf_dir).update_at(5, spark.createDataFrame([("ertion by place",)], "text string")).vocab
 
 
 @query(_over("SELECT doc_id, text || ' upserted' AS text FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, text FROM documents WHERE lang <> 'fr' UNION ALL SELECT -1 - doc_id, text FROM documents WHERE lang = 'fr'", _CHANGED))
@@ -299,7 +299,7 @@ def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     french = docs.where("lang = 'fr'")
     new = french.withColumn("text", F.concat("text", F.lit(" upserted"))).union(french.withColumn("doc_id", -1 - F.col("doc_id")))
-    return _lazy(spark, sf_dir).upsert(new).vocab
+    return index_of(spark, sf_dir).upsert(new).vocab
 
 
 # streaming
@@ -328,10 +328,11 @@ def cdc_last_op(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     log, _ = _log(spark, docs)
     first = docs.select(F.lit(INDEX).alias("op"), F.lit(1).cast("bigint").alias("seq"), "*")
-    log.append(first, 0)
     french = docs.where("lang = 'fr'").select(F.lit(UPDATE).alias("op"), F.lit(2).cast("bigint").alias("seq"), "doc_id", F.lit("changed").alias("text"), "lang")
     german = docs.where("lang = 'de'").select(F.lit(DELETE).alias("op"), F.lit(2).cast("bigint").alias("seq"), "*")
-    log.append(french.union(german).union(german.withColumn("op", F.lit(INDEX)).withColumn("seq", F.lit(1).cast("bigint"))), 1)
+    # the decisive operations come in the first batch, the older ones late
+    log.append(french.union(german), 0)
+    log.append(first, 1)
     return log.snapshot()
 
 
@@ -348,7 +349,9 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n FROM documents")
 def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    path = f"{storage.shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    _table(spark, sf_dir, "documents").select("doc_id", "text").write.json(path)
+    return spark.createDataFrame([(ingest.row_count(spark, path, lines=True),)], "n bigint")
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id BETWEEN 10 AND 150")
@@ -412,6 +415,14 @@ _register("token_union", lambda spark, sf_dir: token_union(index_of(spark, sf_di
 _register("request_search", lambda spark, sf_dir: Request("thtoin", (Condition("lang", "eq", "en"),), fuzzy_threshold=1).plan().ids(index_of(spark, sf_dir)), _with(f"SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id IN ({_near('thtoin', 1)})"))
 
 
+@query(_with(f"SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND doc_id IN ({_near('thtoin', 1)}) ORDER BY n_chars DESC, doc_id LIMIT 5 OFFSET 5"))
+def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a whole request: fuzzy query, condition, sort, fetched records."""
+    engine = Engine(spark, {"documents": index_of(spark, sf_dir)})
+    request = Request("thtoin", (Condition("lang", "eq", "en"),), fuzzy_threshold=1, sort_field="n_chars", sort_order="desc", page=2, size=5)
+    return engine.search("documents", request).items.select("doc_id", "lang", "n_chars")
+
+
 def _on(table: str, key: str, q: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: q.ids(_keyed(spark, sf_dir, table, key))
 
@@ -449,7 +460,8 @@ _register("filter_reverse", _on("part", "p_partkey", Filter(_BOTH, "or", reverse
 @query("SELECT o_orderkey AS doc_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def filter_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    return Filter((Condition("o_custkey", "in", keys=keys),)).ids(_keyed(spark, sf_dir, "orders", "o_orderkey"))
+    engine = Engine(spark, {"orders": _keyed(spark, sf_dir, "orders", "o_orderkey")})
+    return engine.hits("orders", Request(conditions=(Condition("o_custkey", "in", keys=keys),))).select("doc_id")
 
 
 @query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') OR contains(lower(p_type), 'red')")
@@ -652,11 +664,6 @@ def union_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 3")
 def per_group_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    part = _table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
-    return part.withColumn("rank", F.row_number().over(best).cast("bigint")).where("rank <= 3")
-
-
-def config() -> IndexConfig:
-    """The configuration that the stored indexes are built with."""
-    return IndexConfig(name="documents", fields=("text",))
+    part = _table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("doc_id"), F.col("p_retailprice").alias("score"))
+    best = features.per_query_top(part, "p_brand", 3)
+    return best.withColumnsRenamed({"doc_id": "p_partkey", "score": "p_retailprice"})

@@ -26,7 +26,8 @@ def ascii_upper(x: str | Column) -> Column:
 
 def tokenize(x: str | Column) -> Column:
     """Maximal runs of ASCII letters, digits and underscores, in ASCII lower case."""
-    return F.regexp_extract_all(ascii_lower(x), F.lit("([a-z0-9_]+)"), F.lit(1))
+    # tokens are ASCII, so they can be lowered by the fast path; lowering A-Z alone in a whole text is slow
+    return F.transform(F.regexp_extract_all(_col(x), F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lower)
 
 
 def tokenize_unicode(x: str | Column) -> Column:

@@ -38,24 +38,44 @@ def suggest(index: Index, prefix: str, n: int = 10) -> DataFrame:
     return index.vocab.where(F.col("term").startswith(lower(prefix))).orderBy(F.desc("cf"), "term").limit(n).select("term", "cf")
 
 
+#: Unknown words that are compared with the whole vocabulary: they alone are broadcast.
+MAX_ASKED = 10_000
+
+
 def autocorrect(index: Index, tokens: DataFrame, k: int = 2) -> DataFrame:
     """(token, corrected): a token of the index stays; else the nearest term within ``k`` edits, else itself.
 
-    Candidates come from an equi-join on deletion variants, so tokens never meet the whole vocabulary:
-    two words within k edits share a variant with at most k characters deleted from each.
+    Up to ``MAX_ASKED`` unknown tokens are sent to the vocabulary and meet terms of like length and
+    letters.  More of them meet it in an equi-join on deletion variants: two words within k edits share
+    a variant with at most k characters deleted from each.
     """
     asked = tokens.select("token").distinct()
     vocab = index.vocab.select("term")
     known = asked.join(vocab, F.col("token") == F.col("term"), "left_semi")
     unknown = asked.join(vocab, F.col("token") == F.col("term"), "left_anti")
-    left = unknown.select("token", F.explode(deletions(F.col("token"), k)).alias("key"))
-    right = vocab.select("term", F.explode(deletions(F.col("term"), k)).alias("key"))
-    near = left.join(right, "key").select("token", "term").distinct().withColumn("d", F.levenshtein("token", "term", k)).where("d >= 0")
+    if unknown.limit(MAX_ASKED + 1).count() <= MAX_ASKED:
+        few = F.broadcast(unknown.select("token", F.length("token").alias("size"), letters(F.col("token")).alias("own")))
+        terms = vocab.select("term", letters(F.col("term")).alias("theirs"), F.explode(F.sequence(F.length("term") - k, F.length("term") + k)).alias("size"))
+        near = terms.join(few, "size").where(F.bit_count(F.col("own").bitwiseXOR(F.col("theirs"))) <= 2 * k)
+        near = near.select("token", "term")
+    else:
+        left = unknown.select("token", F.explode(deletions(F.col("token"), k)).alias("key"))
+        right = vocab.select("term", F.explode(deletions(F.col("term"), k)).alias("key"))
+        near = left.join(right, "key").select("token", "term").distinct()
+    near = near.withColumn("d", F.levenshtein("token", "term", k)).where("d >= 0")
     best = near.groupBy("token").agg(F.min(F.struct("d", "term")).alias("best")).select("token", F.col("best.term").alias("term"))
     fixed = unknown.join(best, "token", "left").select("token", F.coalesce("term", "token").alias("corrected"))
     return known.select("token", F.col("token").alias("corrected")).unionByName(fixed)
 
 
+def letters(word: Column) -> Column:
+    """A bit for each letter or digit that a word has; an edit changes at most two of them."""
+    out = F.lit(0).cast("bigint")
+    for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789_"):
+        out = out.bitwiseOR(F.when(F.contains(word, F.lit(c)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
+    return out
+
+
 def deletions(word: Column, k: int) -> Column:
     """The word and all that is left of it with up to k characters deleted."""
     out = F.array(word)
@@ -130,7 +150,3 @@ def listing(corpus: DataFrame, page: int = 1, size: int = 20, condition: Column
     page, size = max(page, 1), 20 if size < 1 else size
     rows = corpus if condition is None else corpus.where(condition)
     return rows.orderBy("doc_id").offset((page - 1) * size).limit(size)
-
-
-def field_text(corpus: DataFrame, name: str) -> Column:
-    return text.to_text(F.col(f"`{name}`"), corpus.schema[name].dataType)

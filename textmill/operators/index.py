@@ -5,20 +5,22 @@ doc_stats  (doc_id, dl)             documents without a term are in it, with 0
 vocab      (term, df, cf)
 stats      (n, avgdl)               one row
 
-All of them are lazy plans over the corpus until ``save_index`` or ``persist`` fixes them.  A filter on
-``term`` reaches the exploded tokens below the aggregation, so an ad-hoc search shuffles only its hits.
-An index is a snapshot: every change gives a new one with the next version.
+All of them are lazy plans over the corpus until ``save_index`` or ``persist`` fixes them.  A record is
+tokenised once and its terms are counted within the row, so postings are made without a shuffle.
+An index is a snapshot: every change gives a new one with the next version.  A change of an index whose
+postings are fixed tokenises the new records only; a corpus must not repeat ids (see ``unique``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.functions import analyzer as analyzers
 from textmill.functions import text
@@ -39,11 +41,21 @@ class IndexConfig:
 
 
 class Index:
-    def __init__(self, corpus: DataFrame, config: IndexConfig = IndexConfig(), version: int = 1, postings: DataFrame | None = None, doc_stats: DataFrame | None = None) -> None:
+    def __init__(
+        self,
+        corpus: DataFrame,
+        config: IndexConfig = IndexConfig(),
+        version: int = 1,
+        postings: DataFrame | None = None,
+        doc_stats: DataFrame | None = None,
+        vocab: DataFrame | None = None,
+        stats: DataFrame | None = None,
+    ) -> None:
+        """``postings`` and the others: tables that are there already, else they are derived from the corpus."""
         if "doc_id" not in corpus.columns:
             raise ValueError("a corpus needs a doc_id column; see sources.ingest.with_ids")
         self.corpus, self.config, self.version = corpus, config, version
-        self._postings, self._doc_stats = postings, doc_stats
+        self._postings, self._doc_stats, self._vocab, self._stats = postings, doc_stats, vocab, stats
 
     @staticmethod
     def build(corpus: DataFrame, config: IndexConfig | None = None, **options) -> Index:
@@ -74,13 +86,14 @@ class Index:
     # derived tables
 
     @cached_property
-    def postings(self) -> DataFrame:
-        if self._postings is not None:
-            return self._postings
+    def forward(self) -> DataFrame:
+        """(doc_id, dl, counts): each record's length and its distinct terms with their frequencies."""
         listed = self.corpus.select("doc_id", self.tokens.alias("terms"))
-        each = listed.select("doc_id", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term"))
-        # all terms of a document are in one task, so the partial aggregation leaves nothing to merge
-        return each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
+        return listed.select("doc_id", F.size("terms").cast("bigint").alias("dl"), term_counts(F.col("terms")).alias("counts"))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return postings_of(self.forward) if self._postings is None else self._postings
 
     @cached_property
     def doc_stats(self) -> DataFrame:
@@ -88,47 +101,76 @@ class Index:
             return self._doc_stats
         return self.corpus.select("doc_id", F.size(self.tokens).cast("bigint").alias("dl"))
 
+    @property
+    def has_vocab(self) -> bool:
+        """Whether the vocabulary is a table of its own, so that it is cheaper to ask than the postings."""
+        return self._vocab is not None
+
     @cached_property
     def vocab(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        return vocab_of(self.postings) if self._vocab is None else self._vocab
 
     @cached_property
     def stats(self) -> DataFrame:
-        return self.doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+        return stats_of(self.doc_stats) if self._stats is None else self._stats
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Index:
         """Keep the postings for many searches of one session; a lost executor's part is recomputed."""
-        made = Index(self.corpus, self.config, self.version, self.postings.persist(level), self.doc_stats.persist(level))
-        made.vocab = made.vocab.persist(level)
-        return made
+        postings, doc_stats = self.postings.persist(level), self.doc_stats.persist(level)
+        return Index(self.corpus, self.config, self.version, postings, doc_stats, vocab_of(postings).persist(level), stats_of(doc_stats).persist(level))
 
     def unpersist(self) -> None:
-        for df in (self.postings, self.doc_stats, self.vocab):
+        for df in (self.postings, self.doc_stats, self.vocab, self.stats):
             df.unpersist()
 
     # changes; each gives a new snapshot
 
-    def _with(self, corpus: DataFrame) -> Index:
-        return Index(corpus, self.config, self.version + 1)
+    def _changed(self, corpus: DataFrame, keep: Callable[[DataFrame], DataFrame], new: DataFrame | None = None) -> Index:
+        """``keep`` leaves out what goes from a table with doc_id; ``new``: records that come."""
+        if self._postings is None or self._doc_stats is None:
+            return Index(corpus, self.config, self.version + 1)
+        postings, doc_stats = keep(self._postings), keep(self._doc_stats)
+        if new is not None:
+            added = Index(new, self.config)
+            postings, doc_stats = postings.unionByName(added.postings), doc_stats.unionByName(added.doc_stats)
+        return Index(corpus, self.config, self.version + 1, postings, doc_stats)
 
     def upsert(self, records: DataFrame) -> Index:
-        """Add records; those whose id is there already replace it. Of repeated new ids one stays."""
-        new = records.dropDuplicates(["doc_id"])
-        kept = self.corpus.join(new.select("doc_id"), "doc_id", "left_anti").select(*self.corpus.columns)
-        return self._with(kept.unionByName(new, allowMissingColumns=True))
+        """Add records; those whose id is there already replace it. Of repeated new ids the least record stays."""
+        new = unique(records)
+        ids = new.select("doc_id")
+
+        def keep(df: DataFrame) -> DataFrame:
+            return df.join(ids, "doc_id", "left_anti").select(*df.columns)
+
+        # fields that the corpus lacks are null in its records, and the other way round
+        return self._changed(keep(self.corpus).unionByName(new, allowMissingColumns=True), keep, new)
 
     def update(self, doc_id: int, record: DataFrame) -> Index:
         """Replace one document; an unknown id is an error."""
         self._must_have(doc_id)
-        return self.upsert(record.limit(1).withColumn("doc_id", F.lit(doc_id).cast("bigint")))
+        new = record.limit(1).withColumn("doc_id", F.lit(doc_id).cast("bigint"))
+
+        def keep(df: DataFrame) -> DataFrame:
+            return df.where(F.col("doc_id") != doc_id)
+
+        return self._changed(keep(self.corpus).unionByName(new, allowMissingColumns=True), keep, new)
 
     def delete(self, doc_id: int) -> Index:
         self._must_have(doc_id)
-        return self._with(self.corpus.where(F.col("doc_id") != doc_id))
+
+        def keep(df: DataFrame) -> DataFrame:
+            return df.where(F.col("doc_id") != doc_id)
+
+        return self._changed(keep(self.corpus), keep)
 
     def delete_where(self, ids: DataFrame) -> Index:
         """Remove all documents of ``ids(doc_id)``."""
-        return self._with(self.corpus.join(ids.select("doc_id"), "doc_id", "left_anti"))
+
+        def keep(df: DataFrame) -> DataFrame:
+            return df.join(ids.select("doc_id"), "doc_id", "left_anti").select(*df.columns)
+
+        return self._changed(keep(self.corpus), keep)
 
     def _must_have(self, doc_id: int) -> None:
         if self.document(doc_id).isEmpty():
@@ -166,7 +208,7 @@ class Index:
 
     def health(self) -> DataFrame:
         """(status, documents, terms, issues): error without terms, warning without documents."""
-        terms = self.postings.agg(F.countDistinct("term").alias("terms"))
+        terms = self.vocab.agg(F.count("*").alias("terms"))
         both = self.stats.crossJoin(terms)
         issues = F.concat_ws("; ", F.when(F.col("n") == 0, "no documents"), F.when(F.col("terms") == 0, "no terms"))
         status = F.when(F.col("terms") == 0, "error").when(F.col("n") == 0, "warning").otherwise("healthy")
@@ -180,6 +222,44 @@ class Index:
         return coded.groupBy("term").agg(F.count("*").alias("postings"), F.sum("size").alias("bytes"))
 
 
+def term_counts(terms: Column) -> Column:
+    """Array of (term, tf) of an array's distinct elements: runs of the sorted array."""
+
+    def let(value: Column, then: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), then)[0]
+
+    def runs(found: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i) != F.get(found, i - 1)))
+        return let(first, lambda at: F.transform(at, lambda i, k: F.struct(F.get(found, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(found)) - i).cast("bigint").alias("tf"))))
+
+    return F.when(F.size(terms) > 0, let(F.sort_array(terms), runs))
+
+
+def postings_of(forward: DataFrame) -> DataFrame:
+    # an outer explode: the optimizer infers from an inner one a filter that counts the terms once more
+    each = forward.select("doc_id", "dl", F.explode_outer("counts").alias("c")).where("c IS NOT NULL")
+    return each.select("c.term", "doc_id", "c.tf", "dl")
+
+
+def vocab_of(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def stats_of(doc_stats: DataFrame) -> DataFrame:
+    return doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+
+
+def unique(records: DataFrame) -> DataFrame:
+    """One record for each doc_id: the least by its fields in order, so the same on every computation."""
+    rest = [c for c in records.columns if c != "doc_id"]
+    keys = [F.to_json(F.struct(f"`{c}`")) if isinstance(records.schema[c].dataType, (T.MapType, T.StructType, T.ArrayType)) else F.col(f"`{c}`") for c in rest]
+    order = Window.partitionBy("doc_id").orderBy(*(keys or ["doc_id"]))
+    place = "_place"
+    while place in records.columns:
+        place += "_"
+    return records.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+
+
 def varint_bytes(value: Column) -> Column:
     """Bytes of a number at seven bits each; numbers below 1 take one byte."""
     out = F.lit(1).cast("bigint")

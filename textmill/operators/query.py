@@ -59,8 +59,8 @@ class Term(Query):
         t = lower(self.term)
         if not self.fuzzy:
             return index.postings.where(F.col("term") == t).select("doc_id").distinct()
-        near = index.postings.where((F.col("term") == t) | text.within(F.col("term"), F.lit(t), self.k))
-        return near.select("doc_id").distinct()
+        near = (F.col("term") == t) | text.within(F.col("term"), F.lit(t), self.k)
+        return _with_terms(index, near).select("doc_id").distinct()
 
     def tokens(self) -> list[str]:
         return [lower(self.term)]
@@ -92,6 +92,13 @@ class Phrase(Query):
         return words(self.phrase)
 
 
+def _with_terms(index: Index, condition: Column) -> DataFrame:
+    """Postings of the terms that meet a condition, which a stored vocabulary decides once for each term."""
+    if not index.has_vocab:
+        return index.postings.where(condition)
+    return index.postings.join(index.vocab.where(condition).select("term"), "term", "left_semi")
+
+
 def all_terms(index: Index, terms: Sequence[str]) -> DataFrame:
     """Ids of documents with every one of the terms: one pass over their postings."""
     wanted = sorted(set(terms))
@@ -153,7 +160,7 @@ class Wildcard(Query):
     def ids(self, index: Index) -> DataFrame:
         if self.field:
             return super().ids(index)
-        return index.postings.where(self._match(F.col("term"))).select("doc_id").distinct()
+        return _with_terms(index, self._match(F.col("term"))).select("doc_id").distinct()
 
     def tokens(self) -> list[str]:
         return [lower(self.pattern)]

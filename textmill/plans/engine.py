@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import random
 import time
-from collections import OrderedDict
+from collections import Counter, OrderedDict, deque
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 import xxhash
@@ -42,7 +42,9 @@ class Request:
 
     def checksum(self) -> int:
         """The same for requests that differ only in the order of their conditions."""
-        body = asdict(self) | {"conditions": sorted((c.field, c.operator, str(c.value), c.reverse, id(c.keys) if c.keys is not None else 0) for c in self.conditions)}
+        # field by field: a condition may hold a table of keys, which can't be copied
+        body = {f.name: getattr(self, f.name) for f in fields(self)}
+        body["conditions"] = sorted((c.field, c.operator, str(c.value), c.reverse, id(c.keys) if c.keys is not None else 0) for c in self.conditions)
         return xxhash.xxh64_intdigest(json.dumps(body, sort_keys=True, default=str))
 
     def text_query(self) -> Query | None:
@@ -126,18 +128,23 @@ class Result:
     latency_ms: float
 
 
+#: Searches that the log keeps.
+LOG_SIZE = 10_000
+
+
 @dataclass
 class Engine:
-    """Named indexes over one session; each search is logged."""
+    """Named indexes over one session; each search is logged, and its page is kept until an index changes."""
 
     spark: SparkSession
     indexes: dict[str, Index] = field(default_factory=dict)
-    log: list[tuple[str, str, float, float, int]] = field(default_factory=list)
+    log: deque[tuple[str, str, float, float, int]] = field(default_factory=lambda: deque(maxlen=LOG_SIZE))
+    asked: Counter = field(default_factory=Counter)
     cache: LruCache = field(default_factory=LruCache)
 
     def create(self, name: str, source: Any, id_col: str | None = None, stem: bool = False, **options: Any) -> Index:
         config = IndexConfig(name=name, analyzer=Analyzer.make(stem=stem), **options) if "analyzer" not in options else IndexConfig(name=name, **options)
-        self.indexes[name] = Index.build(ingest.as_corpus(self.spark, source, id_col), config)
+        self.indexes[name] = Index.build(ingest.replaced(ingest.as_corpus(self.spark, source, id_col)), config)
         self.cache.clear()
         return self.indexes[name]
 
@@ -161,28 +168,44 @@ class Engine:
         self.cache.clear()
 
     def hits(self, name: str, request: Request) -> DataFrame:
-        """(doc_id, score) of all hits; kept by request until an index changes."""
+        """(doc_id, score) of all hits."""
         index = self.get(name)
-        key = (name, index.version, request.checksum())
-        found = self.cache.get(key)
-        if found is None:
-            plain = request.fast and not request.conditions and not request.rule
-            found = rank.conjunctive(index, request.query) if plain else rank.search(index, request.plan())
-            self.cache.put(key, found)
-        return found
+        plain = request.fast and not request.conditions and not request.rule
+        return rank.conjunctive(index, request.query) if plain else rank.search(index, request.plan())
 
     def search(self, name: str, request: Request) -> Result:
+        """Ids of a page first, then the records of these alone; a repeated request searches nothing."""
         began = time.perf_counter()
         index = self.get(name)
-        hits = self.hits(name, request)
+        # the key tables of a kept request are kept with it, so an id is never another table's
+        key = name, index.version, request.checksum()
+        kept = self.cache.get(key)
+        if kept is None:
+            kept = self._page(index, self.hits(name, request), request), request.conditions
+            self.cache.put(key, kept)
+        page = kept[0]
+        took = (time.perf_counter() - began) * 1000
+        self.log.append((name, request.query, time.time(), took, page.total))
+        self.asked[name] += 1
+        return replace(page, latency_ms=took)
+
+    def _page(self, index: Index, hits: DataFrame, request: Request) -> Result:
         sort_field, descending = request.sort_field, request.sort_order.lower() == "desc"
         if not sort_field and index.config.default_sort:
             sort_field, descending = index.config.default_sort
-        records = rank.fetch(index, hits)
-        page = rank.paginate(records, rank.ordering(index, sort_field, descending), request.page, request.size)
-        took = (time.perf_counter() - began) * 1000
-        self.log.append((name, request.query, time.time(), took, page.total))
-        return Result(page.results, page.total, page.page, page.per_page, page.total_pages, page.next_page, page.prev_page, took)
+        hits = hits.join(index.corpus.select("doc_id", *([f"`{sort_field}`"] if sort_field and sort_field != "doc_id" else [])), "doc_id").persist()
+        try:
+            page = rank.paginate(hits, rank.ordering(index, sort_field, descending), request.page, request.size)
+            rows = [(r.doc_id, r.score, k) for k, r in enumerate(page.results.select("doc_id", "score").collect())]  # a page
+        finally:
+            hits.unpersist()
+        place = "_place"
+        while place in index.corpus.columns:
+            place += "_"
+        found = self.spark.createDataFrame(rows, f"doc_id bigint, score double, {place} int")
+        records = index.corpus.where(F.col("doc_id").isin([r[0] for r in rows]))
+        items = F.broadcast(found).join(records, "doc_id").orderBy(place).drop(place)
+        return Result(items, page.total, page.page, page.per_page, page.total_pages, page.next_page, page.prev_page, 0.0)
 
     def search_with_highlights(self, name: str, request: Request) -> Result:
         found = self.search(name, request)
@@ -190,12 +213,12 @@ class Engine:
 
     def query_log(self) -> DataFrame:
         """(index, query, ts, latency_ms, results) of all searches."""
-        rows = self.spark.createDataFrame(self.log, "index string, query string, ts double, latency_ms double, results bigint")
+        rows = self.spark.createDataFrame(list(self.log), "index string, query string, ts double, latency_ms double, results bigint")
         return rows.withColumn("ts", F.timestamp_seconds("ts"))
 
     def metrics(self) -> DataFrame:
         """(index, documents, queries) of every index."""
-        asked = self.query_log().groupBy("index").agg(F.count("*").alias("queries"))
+        asked = self.spark.createDataFrame(list(self.asked.items()), "index string, queries bigint")
         parts = [i.stats.select(F.lit(n).alias("index"), F.col("n").alias("documents")) for n, i in sorted(self.indexes.items())]
         every = self.spark.createDataFrame([], "index string, documents bigint")
         for part in parts:

@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.operators.index import unique
+
 #: Turns one input record into a mapping, or gives None to pass it on.
 Adapter = Callable[[Any], dict | None]
 _adapters: list[Adapter] = []
@@ -92,14 +94,33 @@ def from_parquet(spark: SparkSession, path: str, id_col: str | None = None) -> D
     return with_ids(spark.read.parquet(path), id_col)
 
 
-def from_jdbc(spark: SparkSession, url: str, query: str, id_col: str | None = None, **options: str) -> DataFrame:
-    """The result of a database's query; the database's driver must be on Spark's class path."""
-    return with_ids(spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load(), id_col)
-
+def from_jdbc(spark: SparkSession, url: str, query: str, id_col: str | None = None, partition_column: str | None = None, partitions: int = 8, **options: str) -> DataFrame:
+    """The result of a database's query; the database's driver must be on Spark's class path.
 
-def row_count(spark: SparkSession, path: str) -> int:
-    """Records of a JSON array file."""
-    return spark.read.option("multiLine", True).json(path).count()
+    With ``partition_column`` (a number, date or timestamp) the result is read over ``partitions``
+    connections, by ranges between the column's least and greatest value, which are asked for first.
+    """
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    if partition_column is None:
+        return with_ids(reader.option("query", query).load(), id_col)
+    least, most = reader.option("query", f"SELECT MIN({partition_column}) AS a, MAX({partition_column}) AS b FROM ({query}) q").load().first()
+    reader = spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", f"({query}) q")
+    if least is not None:
+        reader = reader.option("partitionColumn", partition_column).option("lowerBound", str(least)).option("upperBound", str(most)).option("numPartitions", partitions)
+    return with_ids(reader.load(), id_col)
+
+
+def row_count(spark: SparkSession, path: str, lines: bool = False) -> int:
+    """Records of files with a JSON array each, or (``lines``) an object in each line."""
+    return spark.read.option("multiLine", not lines).json(path).count()
+
+
+def replaced(corpus: DataFrame) -> DataFrame:
+    """A corpus without repeated ids: the least record of each stays. Only records of repeated ids are moved."""
+    repeated = corpus.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return corpus
+    return corpus.join(repeated, "doc_id", "left_anti").select(*corpus.columns).unionByName(unique(corpus.join(repeated, "doc_id", "left_semi").select(*corpus.columns)))
 
 
 def as_corpus(spark: SparkSession, source: Any, id_col: str | None = None) -> DataFrame:
