@@ -4,13 +4,21 @@ A text's features are its distinct words and word pairs; bit i of the fingerprin
 bit i over the feature hashes.  Near pairs (Hamming distance at most ``distance``) are searched as in
 May and Ozerov's nearest-neighbour algorithm: a list of fingerprints is filtered by the partial
 weight, after a random shift, on a random strip of coordinates; each weight gives a sub-list, which is
-filtered on the next strip, until lists are small; those are compared by brute force.  The whole is
-repeated with fresh strips until a pair at the full distance is found with probability ``recall``.
-Levels and repetitions follow from the number of fingerprints, nothing is capped: a list that stays
-large recurses further where it is, with repetitions of its own.
+filtered on the next strip, until lists are small; those are compared by brute force.  At each step of
+the recursion the whole is repeated with fresh strips, so often that a pair at the full distance is
+found with probability ``recall``.
 
-A list reports, for each of its groups of near fingerprints, edges to the smallest member, so a group
-of n costs n - 1 rows and not n^2 / 2.  Groups are the connected components of all edges.
+The first step is an exchange: it makes lists of at most ``list_size`` fingerprints, and its
+repetitions alone are rows on the network.  The second runs where the list is: its sub-lists, of some
+``leaf`` fingerprints, are compared at once.  Levels and repetitions follow from the number of
+fingerprints, nothing is capped.  A list that strips don't part has dense clusters; these are taken
+out whole, around pivots, without loss (``peel``), and the rest goes on.
+
+Rows on the network for each fingerprint, by the number of fingerprints: 16 (2.5e5), 81 (1e8), 178
+(1e9).  With one step for all and strips of 3 coordinates it would be 45, 704 and 2,100.
+
+A list reports, for each of its groups of near fingerprints, edges that connect it, so a group of n
+costs n - 1 rows and not n^2 / 2.  Groups are the connected components of all edges.
 
 Defined results: null texts and texts without a word have no fingerprint and are near nothing; equal
 fingerprints are one node (any number of exact copies costs one); the smallest doc_id of a group is
@@ -28,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import PIECE, U64, column_bytes, cut_lineage, fresh, mix, owners, release, row_slices, word_table
+from textmill.llm.common import PIECE, U64, column_bytes, cut_lineage, distinct, fresh, mix, owners, release, row_slices, without, word_table
 
 BITS = 128
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -38,13 +46,15 @@ _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 class Settings:
     """``recall``: of pairs at the full distance; nearer ones are found more often.
 
-    ``leaf``: lists up to this size are compared by brute force; ``strip``: coordinates of a filter.
+    ``leaf``: planned size of lists that are compared by brute force; ``strip``: coordinates of a
+    filter; ``list_size``: planned size of the largest lists that go over the network.
     """
 
     distance: int = 24
     recall: float = 0.95
-    strip: int = 3
+    strip: int = 2
     leaf: int = 1024
+    list_size: int = 100_000
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +65,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     same = text[1:] == text[:-1]
     pairs = mix(h[:-1] * U64(0x9DDFEA08EB382D69) + mix(h[1:] + U64(0x77)))[same]
     own = np.concatenate([text, text[1:][same]])
-    key = np.unique(own.astype(U64) << U64(48) | np.concatenate([h, pairs]) >> U64(16))
+    key = distinct(own.astype(U64) << U64(48) | np.concatenate([h, pairs]) >> U64(16))
     own, key = (key >> U64(48)).astype(np.int64), key & U64((1 << 48) - 1)
     count = np.bincount(own, minlength=n)
     halves = []
@@ -98,18 +108,27 @@ def survival(settings: Settings) -> tuple[float, float]:
     return agree(settings.distance / BITS), agree(0.5)
 
 
-def plan(n: int, settings: Settings) -> tuple[int, int]:
-    """(levels, repetitions) for n fingerprints."""
+def plan(n: int, size: int, recall: float, settings: Settings) -> tuple[int, int]:
+    """(levels, repetitions) that part n fingerprints into lists of about ``size``."""
     near, far = survival(settings)
-    if n <= settings.leaf:
+    if n <= size:
         return 0, 1
-    levels = min(BITS // settings.strip, math.ceil(math.log(n / settings.leaf) / math.log(1 / far)))
-    return levels, math.ceil(math.log(1 - settings.recall) / math.log(1 - near**levels))
+    levels = min(BITS // settings.strip, math.ceil(math.log(n / size) / math.log(1 / far)))
+    return levels, math.ceil(math.log(1 - recall) / math.log(1 - near**levels))
+
 
+def first_step(n: int, settings: Settings) -> tuple[int, int]:
+    """Levels and repetitions of the exchange; some dozens of lists at least, to have work for all."""
+    size = min(settings.list_size, max(settings.leaf, n // 32))
+    return plan(n, size, math.sqrt(settings.recall), settings)
 
-def strips(seed: int, levels: int, settings: Settings) -> tuple[list[tuple[int, int]], int, int]:
-    """Masks (low, high) of ``levels`` disjoint random strips, and the random shift."""
-    rng = np.random.default_rng([seed, 0x5EED])
+
+def strips(seed: tuple[int, ...], levels: int, settings: Settings) -> tuple[list[tuple[int, int]], int, int]:
+    """Masks (low, high) of ``levels`` disjoint random strips, and the random shift.
+
+    ``seed``: the repetition of each step down to this one.
+    """
+    rng = np.random.default_rng([0x5EED, len(seed), *seed])
     order = rng.permutation(BITS)
     masks = []
     for i in range(levels):
@@ -119,15 +138,15 @@ def strips(seed: int, levels: int, settings: Settings) -> tuple[list[tuple[int,
     return masks, int(shift[0]), int(shift[1])
 
 
-def paths(low: np.ndarray, high: np.ndarray, seed: int, levels: int, settings: Settings) -> np.ndarray:
+def paths(low: np.ndarray, high: np.ndarray, seed: tuple[int, ...], levels: int, settings: Settings) -> np.ndarray:
     """Hash of the sequence of partial weights: the list that a fingerprint ends in."""
     masks, s, t = strips(seed, levels, settings)
     a, b = low ^ U64(s), high ^ U64(t)
-    code = np.zeros(len(low), U64)
+    code = np.full(len(low), sum(x * 0x9E3779B97F4A7C15 for x in seed) & (1 << 64) - 1, U64)
     for m, k in masks:
         weight = np.bitwise_count(a & U64(m)) + np.bitwise_count(b & U64(k))
-        code = code * U64(settings.strip + 1) + weight
-    return mix(code ^ mix(np.full(1, seed, U64) + U64(0x9E37)))
+        code = code * U64(0xD6E8FEB86659FD93) + weight
+    return mix(code)
 
 
 def near_pairs(low: np.ndarray, high: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,39 +176,79 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def solve(ids: np.ndarray, low: np.ndarray, high: np.ndarray, settings: Settings, depth: int = 0, seed: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges (id, smaller id) that connect the near fingerprints of one list."""
+def distances(low: np.ndarray, high: np.ndarray, i: int) -> np.ndarray:
+    return np.bitwise_count(low ^ low[i]).astype(np.int64) + np.bitwise_count(high ^ high[i])
+
+
+def peel(low: np.ndarray, high: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, rest): edges that settle the dense clusters of a list, and the indices that are left.
+
+    All fingerprints within ``distance`` of a pivot are in its group.  Others can be near one of these
+    only if they are within twice the distance; they are compared with all of them, and the ball is done.
+    """
+    rest = np.arange(len(low))
+    left, right = [], []
+    rng = np.random.default_rng(len(low))
+    while len(rest) > settings.leaf:
+        near: list[np.ndarray] = [distances(low[rest], high[rest], i) for i in rng.integers(0, len(rest), 8)]
+        ball = max(near, key=lambda d: np.count_nonzero(d <= settings.distance))
+        inside = ball <= settings.distance
+        if 64 * np.count_nonzero(inside) < len(rest):
+            break
+        core, around = rest[inside], rest[~inside & (ball <= 2 * settings.distance)]
+        left.append(core[1:])
+        right.append(np.repeat(core[:1], len(core) - 1))
+        step = max(1, (1 << 21) // len(core))
+        for k in range(0, len(around), step):
+            part = around[k : k + step]
+            d = np.bitwise_count(low[part, None] ^ low[None, core]) + np.bitwise_count(high[part, None] ^ high[None, core])
+            hit = d <= settings.distance
+            some = hit.any(axis=1)
+            left.append(part[some])
+            right.append(core[hit.argmax(axis=1)[some]])
+        rest = rest[~inside]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), rest
+
+
+def solve(ids: np.ndarray, low: np.ndarray, high: np.ndarray, settings: Settings, seed: tuple[int, ...] = (0,)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges between the ids of one list that connect its near fingerprints."""
     n = len(ids)
     if n < 2:
         return
-    if n <= 8 * settings.leaf or depth == 4:
-        order = np.argsort(ids, kind="stable")
-        ids, low, high = ids[order], low[order], high[order]
+    # a sub-list is compared at once up to four times its planned size; beyond, it is parted like any other
+    if n <= settings.leaf * (1 if len(seed) == 1 else 4) or len(seed) > 8 and n <= 64 * settings.leaf:
         left, right = near_pairs(low, high, settings.distance)
         if len(left):
             label = roots(n, left, right)
             moved = np.flatnonzero(label != np.arange(n))
             yield ids[moved], ids[label[moved]]
         return
-    levels, repetitions = plan(n, settings)
+    left, right, rest = peel(low, high, settings)
+    if len(left):
+        yield ids[left], ids[right]
+    ids, low, high = ids[rest], low[rest], high[rest]
+    # what is found by several steps needs more of each
+    recall = math.sqrt(settings.recall) if len(seed) == 1 else 0.99
+    levels, repetitions = plan(len(ids), settings.leaf, recall, settings)
     for r in range(repetitions):
-        own = seed * 1000 + r
+        own = (*seed, r)
         code = paths(low, high, own, levels, settings)
         order = np.argsort(code, kind="stable")
         cuts = np.flatnonzero(np.diff(code[order])) + 1
         for part in np.split(order, cuts):
-            yield from solve(ids[part], low[part], high[part], settings, depth + 1, own)
+            yield from solve(ids[part], low[part], high[part], settings, own)
 
 
 def near_edges(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Edges (a, b), b < a, whose components are the groups of near fingerprints (id, low, high)."""
-    levels, repetitions = plan(nodes.count(), settings)
+    levels, repetitions = first_step(nodes.count(), settings)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low, high = (batch.column(c).to_numpy().view(U64) for c in ("low", "high"))
             for r in range(repetitions):
-                code = paths(low, high, r, levels, settings)
+                code = paths(low, high, (r,), levels, settings)
                 yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *(batch.column(c) for c in ("id", "low", "high"))], names=["list", "id", "low", "high"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,4 +317,4 @@ def drop_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     """One document of each group, and all that are in none, with all their columns."""
     near_id = fresh(docs, "_near_id")
     gone = near_copies(docs, settings).select(F.col("doc_id").alias(near_id))
-    return docs.join(gone, docs["doc_id"] == F.col(near_id), "left_anti")
+    return without(docs, gone, docs["doc_id"] == F.col(near_id))
