@@ -84,6 +84,26 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_pipeline_of_odd_rows(spark, folder, tmp_path):
+    """Nulls in any column, repeated rows, ties, a very long text, columns with the operators' own names; no labels."""
+    rng = random.Random(5)
+    own, long = prose(rng, 30), prose(rng, 60_000)
+    rows = [(1, own), (1, own), (2, own), (None, own), (None, None), (3, None), (3, None), (4, ""), (5, ""), (6, long), (7, long + " x"), (None, "no id here")]
+    names = ("digest", "_gone_digest", "again", "list", "low", "key", "toxic", "Tokens")
+    table = {"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string()), "lang": pa.array([None] * len(rows), pa.string())}
+    pq.write_table(pa.table(table | {n: pa.array(range(len(rows))) for n in names}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([None, 1], pa.int64()), "toxic": pa.array([1, None], pa.int32())}), tmp_path / "labels.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([None], pa.int64()), "text": pa.array([None], pa.string())}), tmp_path / "benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    vocabulary = bpe.read_ranks(bpe.VOCABULARY)
+    texts = [(r.doc_id, None if r.tokens is None else b"".join(vocabulary[t] for t in r.tokens).decode()) for r in got]
+    assert sorted(texts, key=str) == sorted([(1, own), (None, None), (3, None), (3, None), (4, ""), (6, long), (None, "no id here")], key=str)
+    for name in ("documents", "labels", "benchmark"):
+        whole = pq.read_table(tmp_path / f"{name}.parquet")
+        pq.write_table(whole.slice(0, 0), tmp_path / f"{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registry():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES)
     assert numbers == list(range(1, 11))
