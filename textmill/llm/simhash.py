@@ -278,7 +278,9 @@ def near_edges(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield from edges(np.concatenate(held, axis=1))
 
     lists = nodes.mapInArrow(spread, "list bigint, id bigint, low bigint, high bigint")
-    sorted_lists = lists.repartition("list").sortWithinPartitions("list")
+    # a number of partitions of its own: the work of a list is far more than its bytes tell
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_lists = lists.repartition(parts, "list").sortWithinPartitions("list")
     return sorted_lists.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
