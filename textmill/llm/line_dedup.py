@@ -241,7 +241,7 @@ def near_pairs(docs: DataFrame, classes: DataFrame, least: int = LEAST) -> DataF
 
     schema = "h1 bigint, h2 bigint, doc_id bigint, line_no int, line string, keys array<bigint>"
     # duplicates come from repeated rows only
-    texts = cut_lineage(_rows(docs).join(wanted, "doc_id").mapInArrow(fetch, schema).dropDuplicates(["h1", "h2"]))
+    texts = written(_rows(docs).join(wanted, "doc_id").mapInArrow(fetch, schema).dropDuplicates(["h1", "h2"]), "line-texts")
     spots = _shared(texts.select("h1", "h2", F.posexplode("keys").alias("spot", "key")))
     spots = spots.groupBy("h1", "h2").agg(F.collect_set("spot").alias("spots"))
 
@@ -286,7 +286,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     lines = every.drop("keys")
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     classes = every.groupBy("h1", "h2").agg(first, F.count("*").alias("n"), F.first("keys").alias("keys"))
-    classes = cut_lineage(classes.select("h1", "h2", "first.doc_id", "first.line_no", "n", "keys"))
+    classes = written(classes.select("h1", "h2", "first.doc_id", "first.line_no", "n", "keys"), "line-classes")
     pairs = cut_lineage(near_pairs(docs, classes, least))
     classes = classes.select("h1", "h2", "n", F.struct("doc_id", "line_no").alias("first"))
     both = pairs.union(pairs.select("b1", "b2", "a1", "a2"))
