@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from textmill.functions import analyzer as analyzers
 from textmill.functions import text
+from textmill.operators import blocks
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,7 @@ class Index:
         doc_stats: DataFrame | None = None,
         vocab: DataFrame | None = None,
         stats: DataFrame | None = None,
+        ordered: bool = False,
     ) -> None:
         """``postings`` and the others: tables that are there already, else they are derived from the corpus."""
         if "doc_id" not in corpus.columns:
@@ -59,6 +61,7 @@ class Index:
 
     @staticmethod
     def build(corpus: DataFrame, config: IndexConfig | None = None, **options) -> Index:
+        self._ordered = ordered
         return Index(corpus, replace(config or IndexConfig(), **options))
 
     # analysis
@@ -86,6 +89,18 @@ class Index:
     # derived tables
 
     @cached_property
+    def plain_stop_words(self) -> tuple[str, ...] | None:
+        """The stop words, if all fields are cut by the plain tokenizer without a stemmer and have the same ones."""
+        own = [self.config.field_analyzers.get(f, self.config.analyzer) for f in self.fields]
+        plain = own and all(a.tokenizer is text.tokenize and a.stemmer is None and set(a.stop_words) == set(own[0].stop_words) for a in own)
+        return tuple(own[0].stop_words) if plain else None
+
+    def plain_text(self) -> Column | None:
+        """One text with the tokens of all fields, where ``plain_stop_words`` has what else there is to know."""
+        if self.plain_stop_words() is None:
+            return None
+        return F.concat_ws(" ", *[text.to_text(F.col(f"`{f}`"), self.corpus.schema[f].dataType) for f in self.fields])
+
     def forward(self) -> DataFrame:
         """(doc_id, dl, counts): each record's length and its distinct terms with their frequencies."""
         listed = self.corpus.select("doc_id", self.tokens.alias("terms"))

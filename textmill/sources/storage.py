@@ -59,29 +59,35 @@ def save_index(index: Index, path: str) -> int:
     """Write a snapshot as a new version, and return its number.
 
     The row in ``meta`` is written last, so a version is visible only when it is whole, and readers of
-    older versions are never disturbed.  Records are tokenised once: their counts are staged, and postings
-    made from them.  Postings are range-partitioned by (term, doc_id): a frequent term is spread over
-    several files, and a search reads only the row groups whose range has the term.  The corpus is laid
-    out by doc_id, so a page of records is read from a few row groups.  Vocabulary and statistics are
-    stored with them.
+    older versions are never disturbed.  Records are tokenised once, into blocks (``operators.blocks``) that are
+    staged; postings, lengths and vocabulary are made from them.  Postings are range-partitioned by
+    (term, doc_id): a frequent term is spread over several files, and a search reads only the row groups
+    whose range has the term.  The corpus is laid out by doc_id, so a page of records is read from a few
+    row groups.  Vocabulary and statistics are stored with them.
     """
-    from textmill.operators.index import Index, postings_of, stats_of, vocab_of
+    from textmill.operators import blocks
+    from textmill.operators.index import Index, stats_of, vocab_of
 
     spark = index.corpus.sparkSession
     version = index.version
     at = f"{path}/v{version}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index.corpus.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{at}/corpus")
+    blocks.by_id(index.corpus, parts).write.mode("overwrite").parquet(f"{at}/corpus")
     if index._postings is None:
-        # read again from the spread corpus, however few splits its source has
-        Index(spark.read.parquet(f"{at}/corpus"), index.config).forward.write.mode("overwrite").parquet(f"{at}/staged")
+        # read again from the spread corpus, however few splits its source has; its files are disjoint in their
+        # ids, so blocks are too, and lists sorted by (term, first) are postings sorted by (term, doc_id)
+        blocks.blocks_of(Index(spark.read.parquet(f"{at}/corpus"), index.config), by_file=True).write.mode("overwrite").option("parquet.enable.dictionary", "false").parquet(f"{at}/staged")
         staged = spark.read.parquet(f"{at}/staged")
-        postings, doc_stats = postings_of(staged), staged.select("doc_id", "dl")
+        lists = staged.where("term IS NOT NULL").select("term", "first", "ids", "tfs", "dls")
+        postings = blocks.postings_in(lists.repartitionByRange(parts, "term", "first").sortWithinPartitions("term", "first"))
+        doc_stats = blocks.doc_stats_in(staged)
     else:
-        postings, doc_stats = index.postings, index.doc_stats
-    postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{at}/postings")
+        postings = index.postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        doc_stats = index.doc_stats
+    postings.write.mode("overwrite").parquet(f"{at}/postings")
     doc_stats.write.mode("overwrite").parquet(f"{at}/doc_stats")
-    vocab_of(spark.read.parquet(f"{at}/postings")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/vocab")
+    vocab = blocks.vocab_in(staged) if index._postings is None else vocab_of(spark.read.parquet(f"{at}/postings"))
+    vocab.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/vocab")
     stats_of(spark.read.parquet(f"{at}/doc_stats")).write.mode("overwrite").parquet(f"{at}/stats")
     _remove(spark, f"{at}/staged")
     meta = spark.read.parquet(f"{at}/stats").select(F.lit(index.config.name).alias("id"), F.lit(version).cast("bigint").alias("version"), F.col("n").alias("total_docs"), F.col("avgdl").alias("avg_doc_length"), F.current_timestamp().alias("timestamp"))
@@ -107,4 +113,4 @@ def load_index(spark: SparkSession, path: str, config: IndexConfig, version: int
         version = versions(spark, path).agg(F.max("version")).first()[0]
     at = f"{path}/v{version}"
     corpus, *tables = (spark.read.parquet(f"{at}/{name}") for name in ("corpus", "postings", "doc_stats", "vocab", "stats"))
-    return Index(corpus, config, version, *tables)
+    return Index(corpus, config, version, *tables, ordered=True)
