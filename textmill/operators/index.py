@@ -53,7 +53,10 @@ class Index:
         stats: DataFrame | None = None,
         ordered: bool = False,
     ) -> None:
-        """``postings`` and the others: tables that are there already, else they are derived from the corpus."""
+        """``postings`` and the others: tables that are there already, else they are derived from the corpus.
+
+        ``ordered``: the postings are files that are sorted by (term, doc_id) and disjoint.
+        """
         if "doc_id" not in corpus.columns:
             raise ValueError("a corpus needs a doc_id column; see sources.ingest.with_ids")
         self.corpus, self.config, self.version = corpus, config, version
@@ -230,11 +233,17 @@ class Index:
         return both.select(status.alias("status"), F.col("n").alias("documents"), "terms", issues.alias("issues"))
 
     def posting_sizes(self) -> DataFrame:
-        """(term, postings, bytes): what delta and variable-length coding would make of each posting list."""
-        order = Window.partitionBy("term").orderBy("doc_id")
-        step = F.col("doc_id") - F.coalesce(F.lag("doc_id").over(order), F.lit(0))
-        coded = self.postings.select("term", (varint_bytes(step) + varint_bytes(F.col("tf"))).alias("size"))
-        return coded.groupBy("term").agg(F.count("*").alias("postings"), F.sum("size").alias("bytes"))
+        """(term, postings, bytes): what delta and variable-length coding would make of each posting list.
+
+        Runs of sorted postings are measured where they lie; only their ends are moved to be joined.
+        """
+        rows = self.postings
+        if not self._ordered:
+            rows = rows.repartitionByRange(parts_for(rows), "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        order = Window.partitionBy("term").orderBy("first", "last")
+        step = F.col("first") - F.coalesce(F.lag("last").over(order), F.lit(0))
+        joined = blocks.runs_of(rows, self._ordered).select("term", "postings", (varint_bytes(step) + F.col("rest")).alias("bytes"))
+        return joined.groupBy("term").agg(F.sum("postings").alias("postings"), F.sum("bytes").alias("bytes"))
 
 
 def term_counts(terms: Column) -> Column:
@@ -268,6 +277,16 @@ def unique(records: DataFrame) -> DataFrame:
     """One record for each doc_id: the least by its fields in order, so the same on every computation."""
     rest = [c for c in records.columns if c != "doc_id"]
     keys = [F.to_json(F.struct(f"`{c}`")) if isinstance(records.schema[c].dataType, (T.MapType, T.StructType, T.ArrayType)) else F.col(f"`{c}`") for c in rest]
+#: Bytes of stored postings in one partition that is sorted or summed up: some 1.5 million rows.
+SORTED = 8 << 20
+
+
+def parts_for(df: DataFrame, most: int = 10_000) -> int:
+    """Partitions to sort a table in: as the session has it, more where the files under it are large."""
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(conf, min(most, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SORTED))
+
+
     order = Window.partitionBy("doc_id").orderBy(*(keys or ["doc_id"]))
     place = "_place"
     while place in records.columns:
