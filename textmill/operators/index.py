@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -143,15 +143,20 @@ class Index:
 
     # changes; each gives a new snapshot
 
-    def _changed(self, corpus: DataFrame, keep: Callable[[DataFrame], DataFrame], new: DataFrame | None = None) -> Index:
-        """``keep`` leaves out what goes from a table with doc_id; ``new``: records that come."""
+    def _changed(self, corpus: DataFrame, keep: Callable[[DataFrame], DataFrame], gone: DataFrame, new: DataFrame | None = None) -> Index:
+        """``keep`` leaves out what goes from a table with doc_id; ``gone``: its records in the corpus; ``new``: records that come."""
         if self._postings is None or self._doc_stats is None:
             return Index(corpus, self.config, self.version + 1)
         postings, doc_stats = keep(self._postings), keep(self._doc_stats)
         if new is not None:
             added = Index(new, self.config)
             postings, doc_stats = postings.unionByName(added.postings), doc_stats.unionByName(added.doc_stats)
-        return Index(corpus, self.config, self.version + 1, postings, doc_stats)
+        if self._vocab is not None:
+            # what comes and goes is counted, not what stays
+            less = blocks.vocab_in(blocks.blocks_of(Index(gone, self.config))).select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+            counts = [self._vocab.select("term", "df", "cf"), less, *([blocks.vocab_in(blocks.blocks_of(added))] if new is not None else [])]
+            vocab = reduce(DataFrame.unionByName, counts).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
+        return Index(corpus, self.config, self.version + 1, postings, doc_stats, vocab)
 
     def upsert(self, records: DataFrame) -> Index:
         """Add records; those whose id is there already replace it. Of repeated new ids the least record stays."""
@@ -162,7 +167,7 @@ class Index:
             return df.join(ids, "doc_id", "left_anti").select(*df.columns)
 
         # fields that the corpus lacks are null in its records, and the other way round
-        return self._changed(keep(self.corpus).unionByName(new, allowMissingColumns=True), keep, new)
+        return self._changed(keep(self.corpus).unionByName(new, allowMissingColumns=True), keep, self._records(records), new)
 
     def update(self, doc_id: int, record: DataFrame) -> Index:
         """Replace one document; an unknown id is an error."""
@@ -172,7 +177,7 @@ class Index:
         def keep(df: DataFrame) -> DataFrame:
             return df.where(F.col("doc_id") != doc_id)
 
-        return self._changed(keep(self.corpus).unionByName(new, allowMissingColumns=True), keep, new)
+        return self._changed(keep(self.corpus).unionByName(new, allowMissingColumns=True), keep, self.document(doc_id), new)
 
     def delete(self, doc_id: int) -> Index:
         self._must_have(doc_id)
@@ -180,7 +185,7 @@ class Index:
         def keep(df: DataFrame) -> DataFrame:
             return df.where(F.col("doc_id") != doc_id)
 
-        return self._changed(keep(self.corpus), keep)
+        return self._changed(keep(self.corpus), keep, self.document(doc_id))
 
     def delete_where(self, ids: DataFrame) -> Index:
         """Remove all documents of ``ids(doc_id)``."""
@@ -188,7 +193,11 @@ class Index:
         def keep(df: DataFrame) -> DataFrame:
             return df.join(ids.select("doc_id"), "doc_id", "left_anti").select(*df.columns)
 
-        return self._changed(keep(self.corpus), keep)
+        return self._changed(keep(self.corpus), keep, self._records(ids))
+
+    def _records(self, ids: DataFrame) -> DataFrame:
+        """The records of ``ids(doc_id)``."""
+        return self.corpus.join(ids.select("doc_id"), "doc_id", "left_semi").select(*self.corpus.columns)
 
     def _must_have(self, doc_id: int) -> None:
         if self.document(doc_id).isEmpty():
