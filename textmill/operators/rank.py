@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.operators.index import Index
+from textmill.operators.index import Index, parts_for
 from textmill.operators.query import Query, all_terms, words
 
 
@@ -103,15 +103,24 @@ def fetch(index: Index, hits: DataFrame) -> DataFrame:
 def batch_topk(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """(qid, rank, doc_id, score): BM25 over any number of queries (qid, term) at once.
 
-    Terms meet postings in one join whatever the number of queries; a query is an OR of its terms.
+    Terms meet postings in one join whatever the number of queries; a query is an OR of its terms.  The
+    postings found are spread by document before queries multiply them: a document's scores are whole in
+    one partition, and only each partition's best k of a query move on.
     """
     config = index.config
     terms = queries.where("term IS NOT NULL").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    found = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    asked = terms.select("term").distinct()
+    if index.has_vocab:
+        frequency = index.vocab.join(asked, "term", "left_semi").select("term", "df")
+    else:
+        frequency = index.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     weight = bm25_weight(F.col("df"), F.col("n"), F.col("avgdl"), F.col("tf"), F.col("dl"), config.k1, config.b)
-    weighted = found.join(frequency, "term").crossJoin(F.broadcast(index.stats)).select("term", "doc_id", weight.alias("w"))  # stats: one row
-    scored = weighted.join(terms, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+    weighted = index.postings.join(frequency, "term").crossJoin(F.broadcast(index.stats)).select("term", "doc_id", weight.alias("w"))  # stats: one row
+    spread = weighted.repartition(parts_for(index.postings), "doc_id")  # a fixed number: what is read here is small beside what it makes
+    # a term's queries as one list: a row for each pair of a posting and a query is made only where it is summed up
+    lists = terms.groupBy("term").agg(F.collect_list(F.struct("qid", "qtf")).alias("asked"))
+    each = spread.join(lists, "term").select("doc_id", "w", F.explode("asked").alias("a"))
+    scored = each.groupBy(F.col("a.qid").alias("qid"), "doc_id").agg(F.sum(F.col("a.qtf") * F.col("w")).alias("score"))
     # equal sums of differently ordered doubles may differ in their last bits: ties are decided at 9 decimals
     best = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.asc("doc_id"))
     return scored.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
