@@ -315,8 +315,9 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive file by file, all of them twice; the log amounts to the table."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     log, base = _log(spark, docs)
-    docs.repartition(2).write.parquet(f"{base}/source/a=1")
-    docs.repartition(2).write.parquet(f"{base}/source/a=2")
+    files = max(2, docs.rdd.getNumPartitions())  # a split of the table each: what a task reads doesn't grow with the table
+    for copy in (1, 2):  # in small row groups, so that a file of its own is read by many tasks
+        docs.repartition(files).write.option("parquet.block.size", 8 << 20).parquet(f"{base}/source/a={copy}")
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source")
     log.start(stream.select("doc_id", "text", "lang"), f"{base}/checkpoint").awaitTermination()
     return log.snapshot()
