@@ -61,10 +61,10 @@ class Index:
             raise ValueError("a corpus needs a doc_id column; see sources.ingest.with_ids")
         self.corpus, self.config, self.version = corpus, config, version
         self._postings, self._doc_stats, self._vocab, self._stats = postings, doc_stats, vocab, stats
+        self._ordered = ordered
 
     @staticmethod
     def build(corpus: DataFrame, config: IndexConfig | None = None, **options) -> Index:
-        self._ordered = ordered
         return Index(corpus, replace(config or IndexConfig(), **options))
 
     # analysis
@@ -89,9 +89,6 @@ class Index:
     def record_text(self) -> Column:
         return text.record_text(self.corpus.schema, self.fields)
 
-    # derived tables
-
-    @cached_property
     def plain_stop_words(self) -> tuple[str, ...] | None:
         """The stop words, if all fields are cut by the plain tokenizer without a stemmer and have the same ones."""
         own = [self.config.field_analyzers.get(f, self.config.analyzer) for f in self.fields]
@@ -104,6 +101,9 @@ class Index:
             return None
         return F.concat_ws(" ", *[text.to_text(F.col(f"`{f}`"), self.corpus.schema[f].dataType) for f in self.fields])
 
+    # derived tables
+
+    @cached_property
     def forward(self) -> DataFrame:
         """(doc_id, dl, counts): each record's length and its distinct terms with their frequencies."""
         listed = self.corpus.select("doc_id", self.tokens.alias("terms"))
@@ -147,7 +147,7 @@ class Index:
         """``keep`` leaves out what goes from a table with doc_id; ``gone``: its records in the corpus; ``new``: records that come."""
         if self._postings is None or self._doc_stats is None:
             return Index(corpus, self.config, self.version + 1)
-        postings, doc_stats = keep(self._postings), keep(self._doc_stats)
+        postings, doc_stats, vocab = keep(self._postings), keep(self._doc_stats), None
         if new is not None:
             added = Index(new, self.config)
             postings, doc_stats = postings.unionByName(added.postings), doc_stats.unionByName(added.doc_stats)
@@ -217,9 +217,12 @@ class Index:
         return self.delete(self.id_at(ordinal))
 
     def optimize(self) -> Index:
-        """Postings without repeated (term, doc_id), spread and sorted by them."""
-        clean = self.postings.where("term IS NOT NULL AND term <> ''").dropDuplicates(["term", "doc_id"])
-        return Index(self.corpus, self.config, self.version + 1, clean.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), self.doc_stats)
+        """Postings without repeated (term, doc_id), spread and sorted by them: of equal ones the first of a sorted range stays."""
+        found = self.postings.where("term IS NOT NULL AND term <> ''")
+        each = Window.partitionBy("term", "doc_id").orderBy("tf", "dl")
+        placed = found.repartitionByRange(parts_for(found), "term", "doc_id").withColumn("_place", F.row_number().over(each))
+        clean = placed.where("_place = 1").drop("_place").sortWithinPartitions("term", "doc_id")
+        return Index(self.corpus, self.config, self.version + 1, clean, self.doc_stats)
 
     # single documents and reports
 
@@ -274,6 +277,16 @@ def postings_of(forward: DataFrame) -> DataFrame:
     return each.select("c.term", "doc_id", "c.tf", "dl")
 
 
+#: Bytes of stored postings in one partition that is sorted or summed up: some 1.5 million rows.
+SORTED = 8 << 20
+
+
+def parts_for(df: DataFrame, most: int = 10_000) -> int:
+    """Partitions to sort a table in: as the session has it, more where the files under it are large."""
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(conf, min(most, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SORTED))
+
+
 def vocab_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
@@ -286,16 +299,6 @@ def unique(records: DataFrame) -> DataFrame:
     """One record for each doc_id: the least by its fields in order, so the same on every computation."""
     rest = [c for c in records.columns if c != "doc_id"]
     keys = [F.to_json(F.struct(f"`{c}`")) if isinstance(records.schema[c].dataType, (T.MapType, T.StructType, T.ArrayType)) else F.col(f"`{c}`") for c in rest]
-#: Bytes of stored postings in one partition that is sorted or summed up: some 1.5 million rows.
-SORTED = 8 << 20
-
-
-def parts_for(df: DataFrame, most: int = 10_000) -> int:
-    """Partitions to sort a table in: as the session has it, more where the files under it are large."""
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, min(most, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SORTED))
-
-
     order = Window.partitionBy("doc_id").orderBy(*(keys or ["doc_id"]))
     place = "_place"
     while place in records.columns:
