@@ -100,6 +100,10 @@ def fetch(index: Index, hits: DataFrame) -> DataFrame:
     return hits.join(index.corpus, "doc_id")
 
 
+#: Pairs of a query and a term that are broadcast; more of them meet postings in joins by term.
+MAX_ASKED = 100_000
+
+
 def batch_topk(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """(qid, rank, doc_id, score): BM25 over any number of queries (qid, term) at once.
 
@@ -114,12 +118,14 @@ def batch_topk(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
         frequency = index.vocab.join(asked, "term", "left_semi").select("term", "df")
     else:
         frequency = index.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # else all postings are spread by term before the other side's size is known
+    small = F.broadcast if terms.limit(MAX_ASKED + 1).count() <= MAX_ASKED else lambda df: df
     weight = bm25_weight(F.col("df"), F.col("n"), F.col("avgdl"), F.col("tf"), F.col("dl"), config.k1, config.b)
-    weighted = index.postings.join(frequency, "term").crossJoin(F.broadcast(index.stats)).select("term", "doc_id", weight.alias("w"))  # stats: one row
+    weighted = index.postings.join(small(frequency), "term").crossJoin(F.broadcast(index.stats)).select("term", "doc_id", weight.alias("w"))  # stats: one row
     spread = weighted.repartition(parts_for(index.postings), "doc_id")  # a fixed number: what is read here is small beside what it makes
     # a term's queries as one list: a row for each pair of a posting and a query is made only where it is summed up
     lists = terms.groupBy("term").agg(F.collect_list(F.struct("qid", "qtf")).alias("asked"))
-    each = spread.join(lists, "term").select("doc_id", "w", F.explode("asked").alias("a"))
+    each = spread.join(small(lists), "term").select("doc_id", "w", F.explode("asked").alias("a"))
     scored = each.groupBy(F.col("a.qid").alias("qid"), "doc_id").agg(F.sum(F.col("a.qtf") * F.col("w")).alias("score"))
     # equal sums of differently ordered doubles may differ in their last bits: ties are decided at 9 decimals
     best = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.asc("doc_id"))
